@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe
+from mensura.llm import decontaminate, bpe
 from mensura.llm.common import load
 
 
@@ -21,8 +21,16 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, tokenizer("byte_bpe_50k.json"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found)
+
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 SQL: dict[str, str] = {}
