@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mensura.llm import token_counts, decontaminate, bpe
+from mensura.llm import language, token_counts, decontaminate, bpe
 from mensura.llm.common import load
 
 
@@ -34,10 +35,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = language.train(docs.where(language.remainder("doc_id") != 2))
+    held_out = F.coalesce(language.remainder("doc_id") == 2, F.lit(False))
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op9_language_id": op9_language_id,
 }
 
 SQL: dict[str, str] = {}
