@@ -176,14 +176,14 @@ def fit(by: dict[str, list[tuple[np.ndarray, np.ndarray]]], cost: float = 10.0)
     return Model(families, dict(langs), pairs, weights, bias)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, from whole texts.
+def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs, with or without the text, with lang_pred and score from whole texts.
 
     A null text, one without a letter, and any text where the model knows no language are `und`
     with score 0.  Rows are answered one by one; result columns replace columns of the same names.
     """
     names = ["lang_pred", "score"]
-    given = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names], F.col(f"`{text}`").cast("string").alias("__text"))
+    given = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names and (keep_text or c != text)], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE x machines floats, machines bounded by `languages`
 

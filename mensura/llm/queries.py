@@ -39,7 +39,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = language.train(docs.where(language.remainder("doc_id") != 2))
     held_out = F.coalesce(language.remainder("doc_id") == 2, F.lit(False))
-    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
 
 
 
