@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup
+from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup, sharding
 from mensura.llm.common import load
 
 
@@ -47,12 +47,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(load(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(load(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op2_token_counts": op2_token_counts,
     "op9_language_id": op9_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sharding": op4_sharding,
 }
 
 SQL: dict[str, str] = {
