@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup, sharding
+from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup, sharding, line_dedup
 from mensura.llm.common import load
 
 
@@ -51,6 +51,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(load(spark, sf_dir, "documents"), shards=24)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.remove_repeated(docs)
+    return out.select("doc_id", "n_lines", "lines_removed", "words_removed", "removed_spans", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
