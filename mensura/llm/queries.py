@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup, sharding, line_dedup
+from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup, sharding, line_dedup, near_dedup
 from mensura.llm.common import load
 
 
@@ -57,6 +57,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "lines_removed", "words_removed", "removed_spans", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
