@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup, sharding, line_dedup, near_dedup
+from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup, sharding, line_dedup, near_dedup, url_filters
 from mensura.llm.common import load
 
 
@@ -62,6 +62,14 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs).drop("text")
 
 
+#: The rules of op1's contract.
+RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"), RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op10_line_dedup": op10_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op1_url_filters": op1_url_filters,
 }
 
 SQL: dict[str, str] = {
