@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup, sharding, line_dedup, near_dedup, url_filters
+from mensura.llm import language, token_counts, decontaminate, bpe, exact_dedup, sharding, line_dedup, near_dedup, url_filters, quality
 from mensura.llm.common import load
 
 
@@ -70,6 +70,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"), RULES)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, pages = (load(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
+    return quality.judge(docs, labels, pages)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op1_url_filters": op1_url_filters,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 
 SQL: dict[str, str] = {
