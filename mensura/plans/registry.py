@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from mensura.plans import statistics, timeseries
+from mensura.plans.common import Query
+
+_PARTS = (statistics, timeseries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    return statistics.flagship_moments(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: q for p in _PARTS for k, q in p.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for p in _PARTS for k, q in p.R.sql.items()}
