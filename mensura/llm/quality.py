@@ -86,7 +86,7 @@ def _logistic(rows: list[list[int]], y: np.ndarray, size: int, penalty: float =
     return w[:size], w[size] - base
 
 
-def fit_evidence(labelled: DataFrame, sample_rows: int = 12_000, size: int = 400, least: int = 20, z: float = 6.0) -> Evidence:
+def fit_evidence(labelled: DataFrame, sample_rows: int = 12_000, size: int = 400, least: int = 5, z: float = 6.0) -> Evidence:
     """Evidence from rows (text, toxic, low: 0 or 1), of which about sample_rows are drawn by a hash of the text.
 
     Equal texts count once.  Features: the `size` of either fault with the largest |z| that occur in

@@ -101,7 +101,9 @@ def grow(rows: DataFrame, dimensions: list[str], shards: int) -> Node:
         last = _cuts(rows, ties, at, {n: (wanted[n][0], cuts[n][0]) for n in ties})
         for n in open_:
             if n.first in cuts:
-                n.value, n.tie = cuts[n.first][0], last[n.first][0]
+                tie, under, own = last[n.first]
+                short = ties[n.first][3] - under  # the nearer of the cuts before and after this tie
+                n.value, n.tie = cuts[n.first][0], tie if own - short <= short else tie - 1
         for n in open_:
             half = n.shards // 2
             n.sides = [Node(n.first, half), Node(n.first + half, n.shards - half)]
