@@ -71,11 +71,12 @@ def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").groupBy(F.expr("cast(unix_timestamp(ts) div 3600 as int)").alias("h")).agg(F.count(F.lit(1)).cast("double").alias("x"))
-    return e.select((F.col("h") - 473352).alias("i"), "x").where("i between 0 and 127")
+    """Events in each of 128 hours, none included."""
+    n = load(spark, sf, "events").groupBy(F.expr("cast(unix_timestamp(ts) div 3600 - 473352 as int)").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.range(128).select(F.col("id").cast("int").alias("i")).join(n, "i", "left").select("i", F.coalesce("n", F.lit(0)).cast("double").alias("x"))
 
 
-H = "h AS (SELECT (epoch(ts)::BIGINT // 3600 - 473352)::INT AS i, count(*)::DOUBLE AS x FROM events GROUP BY 1 HAVING i BETWEEN 0 AND 127)"
+H = "h AS (SELECT r.i::INT AS i, coalesce(n, 0)::DOUBLE AS x FROM range(0, 128) r(i) LEFT JOIN (SELECT epoch(ts)::BIGINT // 3600 - 473352 AS i, count(*) AS n FROM events GROUP BY 1) e ON e.i = r.i)"
 
 
 @R.add(f"""
