@@ -5,16 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where it is unset the warehouse, or in local mode a temporary folder."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    context = spark.sparkContext
+    if context.applicationId not in _OWN:
+        local = context.master.split("[")[0] == "local"
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="mensura-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return _OWN[context.applicationId]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table of its own in spark.checkpoint.dir: loops stay shallow and survive lost executors."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="mensura-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path, schema = f"{where.rstrip('/')}/mensura/step-{uuid.uuid4().hex}", df.schema
+    """df as a table of its own in the shared folder: loops stay shallow and survive lost executors."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/mensura/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
