@@ -20,12 +20,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where the session names none (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or where it is unset the warehouse, or in local mode a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="mensura-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            local = spark.sparkContext.master.split("[")[0] == "local"
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="mensura-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        where = _OWN[app]
     return where.rstrip("/")
 
 
