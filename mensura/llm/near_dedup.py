@@ -7,9 +7,10 @@ number of darts for its total weight, and keeps for each coordinate the dart of
 documents keep the same dart with a chance that equals their weighted Jaccard similarity.
 
 Bands of coordinates name buckets.  Documents with equal words are one representative from the
-start.  Within a bucket each representative is compared with a few leaders, never with all, exactly,
-on whole texts; links join representatives into classes, and buckets that still hold several
-classes get other leaders, in finer buckets too, until a round finds hardly another link (LAST_SHARE).
+start.  Within a bucket each representative is compared with a leader, exactly, on whole texts; links
+join representatives into classes.  In buckets that still hold several classes every two
+representatives of different classes are compared by their shingles' hashes, many at a time as a
+product of matrices; of the links between two classes one is checked on whole texts.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from mensura.llm.decontaminate import words_of
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 
-#: Rounds end with one that finds no more new links than this share of the representatives in shared buckets.
-LAST_SHARE = 1 / 1000
+#: Columns of a product of matrices.
+WIDTH = 4096
 
 _U = np.uint64
 
@@ -183,63 +184,144 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _shared_buckets(reps: DataFrame, bands: int) -> DataFrame:
-    """(band, name, rid) for buckets with more than one representative (rid, bands).
-
-    Bands from `bands` on are of two neighbouring bands: they lie within the first ones, and their
-    members are very similar.
-    """
-    two = F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(bands[i], bands[(i + 1) % {bands}]))")
-    names = reps.select("rid", F.posexplode(F.concat("bands", two)).alias("band", "name"))
+    """(band, name, rid) for buckets with more than one representative (rid, bands)."""
+    names = reps.select("rid", F.posexplode("bands").alias("band", "name"))
     many = written(names.groupBy("band", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "many")
     return written(names.join(many, ["band", "name"]), "shared")
 
 
-def _led(buckets: DataFrame, salt: int) -> DataFrame:
-    """Pairs of a bucket's leaders with each representative of another class, for rows (band, name, rid, label).
+def _led(buckets: DataFrame) -> DataFrame:
+    """Pairs of a bucket's leader, its smallest rid, with each other representative, for rows (band, name, rid)."""
+    leaders = written(buckets.groupBy("band", "name").agg(F.min("rid").alias("a")), "leaders")
+    return buckets.join(leaders, ["band", "name"]).where("a < rid").select("a", F.col("rid").alias("b")).distinct()
 
-    The leader is the smallest rid; with a salt there are up to four, the ends of two orders by hash that it
-    chooses.  Only leaders of other classes are paired.
-    """
-    if salt:
-        orders = [F.struct(F.xxhash64("rid", "band", F.lit(2 * salt + k)).alias("h"), "rid", "label") for k in (0, 1)]
-    else:
-        orders = [F.struct("rid", "label")]
-    ends = [f(o) for o in orders for f in ((F.min, F.max) if salt else (F.min,))]
-    leaders = buckets.groupBy("band", "name").agg(F.array(*[F.struct(e["rid"].alias("rid"), e["label"].alias("label")) for e in ends]).alias("leaders"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    leaders = written(leaders.where("lo < hi").select("band", "name", F.array_distinct("leaders").alias("leaders")), "leaders")
-    met = buckets.join(leaders, ["band", "name"])
-    pairs = met.select("rid", F.explode(F.filter("leaders", lambda x: x["label"] != F.col("label"))).alias("l"))
-    return pairs.select(F.least("l.rid", "rid").alias("a"), F.greatest("l.rid", "rid").alias("b")).distinct()
+
+def _celled(texts: DataFrame, size: int) -> DataFrame:
+    """(rid, cells) for rows (rid, text): the cells as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, part in slices(batch):
+                got = [cells(shingles(words_of(t), size))[0].tobytes() for t in some]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], ["rid", "cells"])
+
+    return texts.select("rid", "text").mapInArrow(run, "rid bigint, cells binary")
+
+
+def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Whether each of the sets `left` has a similarity of `least` or more with each of `right`; sets are unit cells."""
+    sizes = np.array([len(x) for x in sets])
+    _, cell, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[cell]  # a cell of one set is in no intersection
+    owner = np.repeat(np.arange(len(sets)), sizes)[column >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(left), len(right)))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        lo, hi = np.searchsorted(column, [start, start + WIDTH])
+        has = np.zeros((len(sets), int(column[hi - 1]) - start + 1), np.float32)
+        has[owner[lo:hi], column[lo:hi] - start] = 1
+        both += has[left] @ has[right].T
+    return both / (sizes[left][:, None] + sizes[right][None, :] - both) >= least
+
+
+def joining(rids: list[int], labels: list[int], sets: list[np.ndarray], sides: list[int], least: float, refused: frozenset = frozenset()) -> list[tuple[int, int, int, int]]:
+    """(la, lb, a, b): links enough to join all labels that any link joins, among all pairs of a set of side 0 with one of side 1, or of all where no side is 1."""
+    lab = np.unique(labels, return_inverse=True)[1]
+    if lab.max(initial=0) == 0:
+        return []
+    left = np.flatnonzero(np.array(sides) == 0)
+    right = np.flatnonzero(np.array(sides) == 1) if any(sides) else left
+    ok = np.zeros((len(sets), len(sets)), bool)
+    ok[np.ix_(left, right)] = alike(sets, left, right, least)
+    ok |= ok.T
+    place = {r: i for i, r in enumerate(rids)}
+    for a, b in refused:
+        if a in place and b in place:
+            ok[place[a], place[b]] = ok[place[b], place[a]] = False
+    members = np.split(np.argsort(lab, kind="stable"), np.cumsum(np.bincount(lab))[:-1])
+    unseen, out = np.ones(len(members), bool), []
+    for first in range(len(members)):
+        stack = [first] if unseen[first] else []
+        unseen[first] = False
+        while stack:
+            for d in members[stack.pop()]:
+                to = np.flatnonzero(ok[d] & unseen[lab])
+                for k, i in zip(*np.unique(lab[to], return_index=True)):
+                    unseen[k] = False
+                    stack.append(int(k))
+                    a, b = sorted((int(d), int(to[i])), key=lambda x: rids[x])
+                    out.append((*sorted((labels[a], labels[b])), rids[a], rids[b]))
+    return out
+
+
+def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, name, part, other, side, rid, label) for buckets of more than two representatives (a leader has met the other of two) and of several classes."""
+    labelled = written(buckets.join(labels, "rid"), "labelled")
+    several = labelled.groupBy("band", "name").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    several = written(several.where("lo < hi and n > 2").select("band", "name"), "several")
+    return labelled.join(several, ["band", "name"]).select("band", "name", F.lit(0).alias("part"), F.lit(0).alias("other"), F.lit(0).alias("side"), "rid", "label")
+
+
+def _joined(unsettled: DataFrame, sets: DataFrame, least: float, refused: frozenset) -> DataFrame:
+    """(la, lb, a, b): one link for two labels, enough to join all classes that a link within a bucket joins."""
+    key = ["band", "name", "part", "other"]
+    rows = unsettled.join(sets, "rid").select(*key, "side", "rid", "label", "cells").repartition(*key).sortWithinPartitions(*key)
+
+    def found(group: list[tuple]) -> list[tuple[int, int, int, int]]:
+        side, rid, label, held = zip(*group)
+        return joining(list(rid), list(label), [np.frombuffer(x, np.uint64) for x in held], list(side), least, refused)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        names = ["la", "lb", "a", "b"]
+        for batch in batches:
+            out = []
+            for *k, side, rid, label, held in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != at:
+                    out += found(group) if group else []
+                    group, at = [], k
+                group.append((side, rid, label, held))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names)
+        out = found(group) if group else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names)
+
+    got = rows.mapInArrow(run, "la bigint, lb bigint, a bigint, b bigint")
+    return got.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (rid, label) once links (a, b) have joined classes: only the graph of their labels is searched for components."""
+    ends = links.join(labels.select(F.col("rid").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("rid").alias("b"), F.col("label").alias("lb")), "b")
+    joined = components(written(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct(), "joined"))
+    return written(labels.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").select("rid", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def _links(reps: DataFrame, base: DataFrame, least: float, size: int, bands: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between representatives, enough for their classes though not all pairs of a class; labels (rid, label) of those in shared buckets.
 
-    A round's new links join classes: only the graph of their labels is searched for components.
-    Buckets whose members are of one class already take no part in later rounds.  The last round is one with
-    few new links; below a thousand representatives that means none.
+    First leaders are compared with their buckets; then all pairs of different classes in buckets of several.
+    That is done once, and again only where texts refuse a pair whose hashes agree.
     """
     buckets = _shared_buckets(reps, bands)
     texts = written(base.join(buckets.select("rid").distinct(), "rid", "left_semi").select("rid", "text"), "texts")
-    pairs = written(_led(buckets.where(F.col("band") < bands).withColumn("label", F.col("rid")), 0), "pairs")
-    links = tried = None
-    few = texts.count() * LAST_SHARE
-    labels = texts.select("rid", F.col("rid").alias("label"))
-    salt = 0
+    links = written(_verified(written(_led(buckets), "pairs"), texts, size, least), "links")
+    labels = _relabelled(texts.select("rid", F.col("rid").alias("label")), links)
+    unsettled = written(_unsettled(buckets, labels), "unsettled")
+    sets = written(_celled(texts.join(unsettled.select("rid").distinct(), "rid", "left_semi"), size), "cells")
+    refused: frozenset = frozenset()
     while True:
+        pairs = written(_joined(unsettled, sets, least, refused), "pairs")
         new = written(_verified(pairs, texts, size, least), "links")
-        found = new.count()
-        tried = pairs if tried is None else tried.union(pairs)
-        if found:
-            links = new if links is None else links.union(new)
-            ends = new.join(labels.select(F.col("rid").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("rid").alias("b"), F.col("label").alias("lb")), "b")
-            joined = components(written(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct(), "joined"))
-            labels = written(labels.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").select("rid", F.coalesce("to", "label").alias("label")), "labels")
-        if salt and found <= few:
-            return (new if links is None else links), labels
-        salt += 1
-        pairs = _led(written(buckets.join(labels, "rid"), "labelled"), salt)
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if new.limit(1).count():
+            links = links.union(new)
+            labels = _relabelled(labels, new)
+        wrong = [tuple(r) for r in pairs.join(new, ["a", "b"], "left_anti").collect()]
+        if not wrong:
+            return links, labels
+        refused |= frozenset(wrong)
+        unsettled = written(_unsettled(buckets, labels), "unsettled")
 
 
 def classes(base: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

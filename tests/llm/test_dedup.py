@@ -88,6 +88,35 @@ def test_near_classes_are_brute_force(spark):
     assert all((r["n_links"] > 0) <= (r["class_size"] > 1) for r in got)
 
 
+def template_group(rng, n, pairs):
+    """n texts of one template that are under 0.8 alike, but for `pairs` pairs, the last of them with the next, that are a little over."""
+    base, rows = words(rng, 400), []
+
+    def changed(w, spots, name):
+        for j in spots:
+            w[5 * j] = f"{name}x{j}"
+        return w
+
+    for i in range(n - 2 * pairs):
+        rows.append(changed(list(base), rng.sample(range(80), 7), f"own{i}"))
+    for i in range(pairs):
+        spots = rng.sample(range(80), 12)
+        both = changed(list(base), spots[:4], f"both{i}")
+        rows += [changed(list(both), spots[4:8], f"left{i}"), changed(list(both), spots[8:], f"right{i}")]
+    return [" ".join(w) for w in rows]
+
+
+def apart(spark, n, pairs):
+    """How many of the pairs of a template group aren't in one class of two."""
+    docs = spark.createDataFrame(list(enumerate(template_group(random.Random(5), n, pairs))), "doc_id long, text string")
+    of = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(docs).collect()}
+    return sum(not of[i] == of[i + 1] == (i, 2) for i in range(n - 2 * pairs, n, 2))
+
+
+def test_last_links_of_a_large_table_are_found(spark):
+    assert apart(spark, 2000, 10) == 0
+
+
 def test_near_dedup_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id long, text string")
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
