@@ -32,8 +32,8 @@ from mensura.llm.decontaminate import words_of
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 
-#: Columns of a product of matrices.
-WIDTH = 4096
+#: Columns of a product of matrices; representatives of a bucket's part at most, or bytes of their texts, on average.
+WIDTH, PART, PART_BYTES = 4096, 1024, 32_000_000
 
 _U = np.uint64
 
@@ -256,12 +256,18 @@ def joining(rids: list[int], labels: list[int], sets: list[np.ndarray], sides: l
     return out
 
 
-def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, name, part, other, side, rid, label) for buckets of more than two representatives (a leader has met the other of two) and of several classes."""
-    labelled = written(buckets.join(labels, "rid"), "labelled")
-    several = labelled.groupBy("band", "name").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-    several = written(several.where("lo < hi and n > 2").select("band", "name"), "several")
-    return labelled.join(several, ["band", "name"]).select("band", "name", F.lit(0).alias("part"), F.lit(0).alias("other"), F.lit(0).alias("side"), "rid", "label")
+def _unsettled(buckets: DataFrame, labels: DataFrame, words: DataFrame, part: int) -> DataFrame:
+    """(band, name, part, other, side, rid, label) for buckets of more than two representatives (a leader has met the other of two) and of several classes.
+
+    A large bucket is dealt into parts by hash, and each two of them are a group of their own; of these the rows of `other` have side 1.
+    """
+    labelled = written(buckets.join(labels, "rid").join(words, "rid"), "labelled")
+    several = labelled.groupBy("band", "name").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / part, F.col("n_bytes") / PART_BYTES)).cast("int")
+    several = written(several.where("lo < hi and n > 2").select("band", "name", parts.alias("parts")), "several")
+    mine = labelled.join(several, ["band", "name"]).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    each = mine.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select("band", "name", F.least("own", "x").alias("part"), F.greatest("own", "x").alias("other"), (F.col("own") > F.col("x")).cast("int").alias("side"), "rid", "label")
 
 
 def _joined(unsettled: DataFrame, sets: DataFrame, least: float, refused: frozenset) -> DataFrame:
@@ -298,7 +304,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").select("rid", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _links(reps: DataFrame, base: DataFrame, least: float, size: int, bands: int) -> tuple[DataFrame, DataFrame]:
+def _links(reps: DataFrame, base: DataFrame, least: float, size: int, bands: int, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between representatives, enough for their classes though not all pairs of a class; labels (rid, label) of those in shared buckets.
 
     First leaders are compared with their buckets; then all pairs of different classes in buckets of several.
@@ -308,7 +314,8 @@ def _links(reps: DataFrame, base: DataFrame, least: float, size: int, bands: int
     texts = written(base.join(buckets.select("rid").distinct(), "rid", "left_semi").select("rid", "text"), "texts")
     links = written(_verified(written(_led(buckets), "pairs"), texts, size, least), "links")
     labels = _relabelled(texts.select("rid", F.col("rid").alias("label")), links)
-    unsettled = written(_unsettled(buckets, labels), "unsettled")
+    words = texts.select("rid", F.length(F.col("text").cast("binary")).alias("n_bytes"))  # as many as cells take, nearly
+    unsettled = written(_unsettled(buckets, labels, words, part), "unsettled")
     sets = written(_celled(texts.join(unsettled.select("rid").distinct(), "rid", "left_semi"), size), "cells")
     refused: frozenset = frozenset()
     while True:
@@ -321,7 +328,7 @@ def _links(reps: DataFrame, base: DataFrame, least: float, size: int, bands: int
         if not wrong:
             return links, labels
         refused |= frozenset(wrong)
-        unsettled = written(_unsettled(buckets, labels), "unsettled")
+        unsettled = written(_unsettled(buckets, labels, words, part), "unsettled")
 
 
 def classes(base: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

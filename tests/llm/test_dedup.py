@@ -117,6 +117,12 @@ def test_last_links_of_a_large_table_are_found(spark):
     assert apart(spark, 2000, 10) == 0
 
 
+def test_all_links_of_a_template_group_are_found(spark, monkeypatch):
+    assert apart(spark, 2400, 200) == 0
+    monkeypatch.setattr(near_dedup._links, "__defaults__", (7,))  # buckets in many parts
+    assert apart(spark, 300, 50) == 0
+
+
 def test_near_dedup_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id long, text string")
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
