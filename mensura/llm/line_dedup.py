@@ -68,11 +68,10 @@ def _chunk_table(rows: DataFrame) -> DataFrame:
                 at, cols = [], [[] for _ in range(6)]
                 for i, t in enumerate(texts):
                     lines = _lines(t)
-                    for c, (start, n, words) in enumerate(chunks(lines)):
-                        if words:
-                            at.append(i)
-                            for col, v in zip(cols, (c, start, n, words, *_name(b"\n".join(lines[start : start + n])))):
-                                col.append(v)
+                    for c, (start, n, words) in enumerate([x for x in chunks(lines) if x[2]]):  # one without words breaks no run
+                        at.append(i)
+                        for col, v in zip(cols, (c, start, n, words, *_name(b"\n".join(lines[start : start + n])))):
+                            col.append(v)
                 own = part.select([0, 1]).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, pa.int32()) for c in cols[:4]], *[pa.array(c, pa.int64()) for c in cols[4:]]], schema.names)
 

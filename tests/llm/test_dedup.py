@@ -179,6 +179,26 @@ def test_repeated_passages_go_and_the_first_stays(spark):
         assert all(x in left for x in got[i]["text"].split("\n")) or got[i]["text"] == ""
 
 
+def left_of(spark, passage_of, n=20, own=lambda rng: rng.randint(4, 14)):
+    """Lines with words of repeated passages that stay in second documents."""
+    rng, rows, left = random.Random(6), [], 0
+    line = lambda k: " ".join(words(rng, k))
+    passages = [passage_of(line) for _ in range(n)]
+    for i, p in enumerate(passages * 2):
+        rows.append((i, "\n".join([*(line(own(rng)) for _ in range(3)), p, *(line(own(rng)) for _ in range(3))])))
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, p in enumerate(passages):
+        assert got[i]["text"] == rows[i][1]
+        left += sum(x in got[n + i]["text"].split("\n") for x in p.split("\n") if x)
+        assert all(x in got[n + i]["text"].split("\n") for k, x in enumerate(rows[n + i][1].split("\n")) if k < 3)
+    return left
+
+
+def test_blank_lines_break_no_passage(spark):
+    for sizes in ([20] * 4, [18] * 6, [24] * 10):
+        assert left_of(spark, lambda line: "\n\n".join(line(k) for k in sizes)) == 0
+
+
 def test_line_dedup_of_odd_tables(spark):
     long = " ".join(["word%d" % i for i in range(40)])
     rows = [(1, long), (1, long), (None, long), (3, None), (4, ""), (5, "a\n\nb\n"), (6, long + "\n" + long)]
