@@ -1,11 +1,10 @@
-"""Line deduplication by content-defined chunks of lines.
-
-A rolling hash over the hashes of the last lines decides where a chunk of lines ends, so the same
-passage is cut in the same places wherever it stands, and an inserted line moves no later
-boundary.  Longer lines end a chunk more often, and a line of STAND words or more is a chunk by
-itself.  Chunks are counted over the whole table by 128-bit hashes; chunks that occur again are
-compared byte by byte; then every occurrence but the first goes, where it stands in a run of
-repeated chunks of MIN_WORDS words at least.
+"""Line deduplication by passages of whole lines.
+
+From each line with words starts, and with each ends, a least passage: as few lines as have MIN_WORDS
+words together; lines without words between them do not count.  A longer passage is covered by
+its least passages to both ends, wherever it stands.  Least passages are counted over the whole
+table by 128-bit hashes; those that occur again are compared byte by byte; then the lines of every
+occurrence but the first go.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 from mensura.llm.common import free_name, slices, with_row_ids, written
 
-#: Lines that the rolling hash sees, words from which a line stands alone, words of a run that is removed.
+#: Lines that the rolling hash of chunks sees, words from which a line is a chunk alone, words of a passage that is removed.
 WINDOW, STAND, MIN_WORDS = 2, 16, 25
 
 _MASK = (1 << 64) - 1
@@ -57,41 +56,61 @@ def _name(chunk: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _chunk_table(rows: DataFrame) -> DataFrame:
-    """(key, rid, chunk, start, lines, words, h1, h2) for each chunk with a word of rows (key, rid, text)."""
-    fields = ["chunk", "start", "lines", "words"]
-    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(n, T.IntegerType()) for n in fields], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+def least_passages(lines: list[bytes], min_words: int) -> list[tuple[int, int, bytes]]:
+    """(first line, lines, body without wordless lines) of the fewest lines of min_words words that start, or that end, with each line with words."""
+    counts = [(i, n) for i, x in enumerate(lines) if (n := len(x.split()))]
+    ends, a, words = set(), 0, 0
+    for b, (_, n) in enumerate(counts):
+        words += n
+        if words < min_words:
+            continue
+        if not ends:
+            ends.add((a, b))
+        while words - counts[a][1] >= min_words:
+            words -= counts[a][1]
+            a += 1
+            ends.add((a, b))  # b is the first end for this start
+        ends.add((a, b))  # a is the last start for this end
+    return [(counts[a][0], counts[b][0] + 1 - counts[a][0], b"\n".join([lines[i] for i, _ in counts[a : b + 1]])) for a, b in sorted(ends)]
+
+
+def _passage_table(rows: DataFrame, min_words: int) -> DataFrame:
+    """(key, rid, start, lines, h1, h2) for each least passage of rows (key, rid, text)."""
+    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(n, T.IntegerType()) for n in ("start", "lines")], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, part in slices(batch):
-                at, cols = [], [[] for _ in range(6)]
+                at, cols = [], [[] for _ in range(4)]
                 for i, t in enumerate(texts):
-                    lines = _lines(t)
-                    for c, (start, n, words) in enumerate([x for x in chunks(lines) if x[2]]):  # one without words breaks no run
+                    for start, n, body in least_passages(_lines(t), min_words):
                         at.append(i)
-                        for col, v in zip(cols, (c, start, n, words, *_name(b"\n".join(lines[start : start + n])))):
+                        for col, v in zip(cols, (start, n, *_name(body))):
                             col.append(v)
                 own = part.select([0, 1]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, pa.int32()) for c in cols[:4]], *[pa.array(c, pa.int64()) for c in cols[4:]]], schema.names)
+                yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, pa.int32()) for c in cols[:2]], *[pa.array(c, pa.int64()) for c in cols[2:]]], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _spans(found: list[dict] | None, min_words: int) -> list[tuple[int, int, int]]:
-    """(first line, lines, words) to remove: repeated chunks that aren't first occurrences, in runs of enough words."""
-    out, run = [], []
-    for c in [*sorted(found or [], key=lambda c: c["chunk"]), None]:
-        if run and (c is None or c["chunk"] != run[-1]["chunk"] + 1):
-            if sum(x["words"] for x in run) >= min_words:
-                out += [(x["start"], x["lines"], x["words"]) for x in run if not x["first"]]
-            run = []
-        run.append(c)
+def _spans(found: list[dict] | None) -> list[tuple[int, int]]:
+    """(first line, lines) to remove: what occurrences after the first cover, but not of the first occurrence itself where they overlap it."""
+    out: list[tuple[int, int]] = []
+    ends: list[tuple[int, int]] = []
+    for c in found or []:
+        start, end = c["start"], c["start"] + c["lines"]
+        if not c["first"]:
+            ends.append((max(start, c["kept_to"] or 0), end))
+    for start, end in sorted(x for x in ends if x[0] < x[1]):
+        if out and start <= out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end - out[-1][0]))
+        else:
+            out.append((start, end - start))
     return out
 
 
 def _texts_of(rows: DataFrame) -> DataFrame:
-    """(h1, h2, body) of each repeated chunk of rows (found, text)."""
+    """(h1, h2, body) of each repeated passage of rows (found, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,14 +121,14 @@ def _texts_of(rows: DataFrame) -> DataFrame:
                     for c in found:
                         h1.append(c["h1"])
                         h2.append(c["h2"])
-                        body.append(b"\n".join(lines[c["start"] : c["start"] + c["lines"]]))
+                        body.append(b"\n".join([x for x in lines[c["start"] : c["start"] + c["lines"]] if x.split()]))
                 yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(body, pa.binary())], ["h1", "h2", "body"])
 
     return rows.mapInArrow(run, "h1 bigint, h2 bigint, body binary")
 
 
 def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with its text without repeated chunks, and n_lines, lines_removed, words_removed, removed_spans.
+    """docs with its text without repeated passages of min_words words or more, and n_lines, lines_removed, words_removed, removed_spans.
 
     Lines end with a line feed.  The first occurrence, by key (null first) and place in the table,
     stays; occurrences within one document count too.  removed_spans: (first_line, lines) of the
@@ -121,27 +140,28 @@ def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     rid, found = free_name(docs, "rid"), free_name(docs, "found")
     rows = with_row_ids(docs, rid)
-    table = written(_chunk_table(rows.select(F.col(f"`{key}`").alias("key"), F.col(rid).alias("rid"), F.col(f"`{text}`").cast("string").alias("text"))), "chunks")
-    place = F.struct("key", "rid", "chunk")
+    table = written(_passage_table(rows.select(F.col(f"`{key}`").alias("key"), F.col(rid).alias("rid"), F.col(f"`{text}`").cast("string").alias("text")), min_words), "passages")
+    place = F.struct("key", "rid", "start", "lines")
     again = written(table.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")).where("n > 1").drop("n"), "repeated")
-    # both sides are read anew, so that the join splits a chunk with very many occurrences
-    hits = table.join(again, ["h1", "h2"]).withColumn("first", (F.col("rid") == F.col("at.rid")) & (F.col("chunk") == F.col("at.chunk")))
+    # both sides are read anew, so that the join splits a passage with very many occurrences
+    hits = table.join(again, ["h1", "h2"]).withColumn("first", (F.col("rid") == F.col("at.rid")) & (F.col("start") == F.col("at.start")))
+    hits = hits.withColumn("kept_to", F.when(F.col("rid") == F.col("at.rid"), F.col("at.start") + F.col("at.lines")))
 
     def attached(hits: DataFrame) -> DataFrame:
-        each = F.collect_list(F.struct("chunk", "start", "lines", "words", "h1", "h2", "first"))  # as many as one document has chunks
+        each = F.collect_list(F.struct("start", "lines", "h1", "h2", "first", "kept_to"))  # at most two a line of the document
         mine = hits.groupBy(F.col("rid").alias(rid)).agg(each.alias(found))
         return written(rows.join(mine, rid, "left"), "attached")
 
     joined = attached(hits)
     bodies = _texts_of(joined.where(F.col(found).isNotNull()).select(F.col(found), F.col(f"`{text}`").cast("string").alias("text")))
-    # equal hashes with unequal bytes: such chunks stay
+    # equal hashes with unequal bytes: such passages stay
     unequal = written(bodies.groupBy("h1", "h2", "body").count().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "unequal")
     if unequal.limit(1).count():
         joined = attached(hits.join(unequal, ["h1", "h2"], "left_anti"))
-    return _cleaned(joined.drop(rid), docs, found, text, min_words)
+    return _cleaned(joined.drop(rid), docs, found, text)
 
 
-def _cleaned(joined: DataFrame, docs: DataFrame, found: str, text: str, min_words: int) -> DataFrame:
+def _cleaned(joined: DataFrame, docs: DataFrame, found: str, text: str) -> DataFrame:
     own = free_name(docs, "own_text")
     given = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(found), F.col(f"`{text}`").cast("string").alias(own))
     span = T.ArrayType(T.StructType([T.StructField("first_line", T.IntegerType()), T.StructField("lines", T.IntegerType())]))
@@ -155,14 +175,15 @@ def _cleaned(joined: DataFrame, docs: DataFrame, found: str, text: str, min_word
                 out: list[list] = [[] for _ in tail]
                 there = part.column(part.num_columns - 1).is_valid().to_pylist()
                 for t, ok, got in zip(texts, there, part.column(part.num_columns - 2).to_pylist()):
-                    spans = _spans(got, min_words) if got else []
-                    n = t.count("\n") + 1 if ok else 0
+                    spans = _spans(got)
+                    n, words = t.count("\n") + 1 if ok else 0, 0
                     if spans:
                         lines = t.split("\n")
-                        for start, size, _ in reversed(spans):
+                        for start, size in reversed(spans):
+                            words += sum(len(x.encode("utf-8", "surrogatepass").split()) for x in lines[start : start + size])
                             del lines[start : start + size]
                         t = "\n".join(lines)
-                    for col, v in zip(out, (t if ok else None, n, sum(s[1] for s in spans), sum(s[2] for s in spans), [{"first_line": a, "lines": b} for a, b, _ in spans])):
+                    for col, v in zip(out, (t if ok else None, n, sum(s[1] for s in spans), words, [{"first_line": a, "lines": b} for a, b in spans])):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(out[0], pa.string()), *[pa.array(c, pa.int64()) for c in out[1:4]], pa.array(out[4], arrow)], schema.names)
 

@@ -199,6 +199,33 @@ def test_blank_lines_break_no_passage(spark):
         assert left_of(spark, lambda line: "\n\n".join(line(k) for k in sizes)) == 0
 
 
+def test_whole_passages_of_short_lines_go(spark):
+    for sizes in ([6] * 10, [5] * 12, [12] * 5, [10] * 6, [8] * 8, [3] * 17, [1] * 71, [24, 24, 3], [2, 2, 24, 22, 1]):
+        assert left_of(spark, lambda line: "\n".join(line(k) for k in sizes)) == 0, sizes
+
+
+def test_passages_are_brute_force(spark):
+    rng = random.Random(4)
+    pool = [" ".join(words(rng, n)) for n in (1, 2, 3, 5, 8, 13, 30)] + ["", " "]
+    rows = [(i, "\n".join(rng.choice(pool[:7] if i % 3 else pool) for _ in range(rng.randint(1, 25)))) for i in range(40)]
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen: dict = {}
+    for i, t in rows:
+        lines, must, may = t.split("\n"), set(), set()
+        full = [k for k, x in enumerate(lines) if x.split()]
+        for a in range(len(full)):
+            for b in range(a, len(full)):
+                body, own = tuple(lines[k] for k in full[a : b + 1]), set(full[a : b + 1])
+                if sum(len(x.split()) for x in body) >= 25:
+                    doc, start, end = seen.setdefault(body, (i, full[a], full[b] + 1))
+                    if (doc, start) != (i, full[a]):
+                        may |= own
+                        must |= own if doc != i or full[a] >= end else set()
+        gone = {k for s in got[i]["removed_spans"] for k in range(s["first_line"], s["first_line"] + s["lines"])}
+        assert must <= gone and gone & set(full) <= may, i
+        assert got[i]["text"] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
+
+
 def test_line_dedup_of_odd_tables(spark):
     long = " ".join(["word%d" % i for i in range(40)])
     rows = [(1, long), (1, long), (None, long), (3, None), (4, ""), (5, "a\n\nb\n"), (6, long + "\n" + long)]
