@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from mensura.llm.common import LOWER, UPPER, free_name, with_row_ids, written
 
-LEVELS = 3
-
 #: Fixed value: a segment that names nothing but a number, a date or a long hexadecimal id, with an extension or without.
 VARIABLE = r"^(?:[0-9][0-9_\-]*|[0-9a-fA-F\-]{16,})(\.[A-Za-z0-9]{1,5})?$"
 
@@ -54,17 +52,19 @@ def _with(rows: DataFrame, keys: list[str], totals: DataFrame, name: str) -> Dat
     return rows.join(written(totals, name), keys, "left")
 
 
-def templates(pages: DataFrame, levels: int = LEVELS, children: int = 8, rare: float = 0.5, z: float = 1.96, strength: float = 8.0, least: int = 5) -> DataFrame:
+def templates(pages: DataFrame, children: int = 8, rare: float = 0.5, z: float = 1.96, strength: float = 8.0, least: int = 5) -> DataFrame:
     """pages (page, host, path, good: 1, 0 or null) with template and purity.
 
+    The tree goes as deep as the longest path.
     A node with `children` children or more, which are `rare` or more of its pages, has a wildcard
     for them all.  A branch with fewer than `least` labelled pages, or whose bad rate differs from
     its siblings' by less than z standard errors, is merged into the wildcard.  strength: labelled
     pages that a prior counts for.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = written(pages.withColumn("parts", F.slice(parts, 1, levels)).withColumn("template", F.col("host")).withColumn("bad", 1 - F.col("good")), "paths")
-    for d in range(1, levels + 1):
+    rows = written(pages.withColumn("parts", parts).withColumn("template", F.col("host")).withColumn("bad", 1 - F.col("good")), "paths")
+    deepest = rows.agg(F.coalesce(F.max(F.size("parts")), F.lit(0))).first()[0]
+    for d in range(1, deepest + 1):
         raw = F.try_element_at("parts", F.lit(d))
         name = F.when(raw.rlike(VARIABLE), F.concat(F.lit("*"), F.regexp_extract(raw, VARIABLE, 1))).otherwise(raw)
         rows = rows.withColumn("seg", name)

@@ -135,6 +135,14 @@ def test_impure_templates_are_rejected(spark):
     assert {got[500 + i]["template"] for i in range(20)} == {"few.org/*/x"}
 
 
+def test_branches_deep_in_a_path_are_told_apart(spark):
+    rows = [(i, f"http://h.org/a/b/c/d/{'spam' if i % 2 else 'good'}/{i}") for i in range(200)] + [(300, "http://h.org/" + "x/" * 12)]
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, {}).collect()}
+    assert all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(200))
+    assert len({got[i]["template"] for i in range(200)}) == 2 and got[300]["template"].count("/") == 12
+
+
 def check_shards(got, rows, shards):
     sizes = [0] * shards
     slots = [[] for _ in range(shards)]
