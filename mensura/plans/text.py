@@ -76,6 +76,14 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(128).select(F.col("id").cast("int").alias("i")).join(n, "i", "left").select("i", F.coalesce("n", F.lit(0)).cast("double").alias("x"))
 
 
+def all_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in each hour from the first to the last, none included; i counts from the first."""
+    n = load(spark, sf, "events").where("ts is not null").groupBy(F.expr("unix_timestamp(ts) div 3600").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    ends = n.agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo is not null")
+    hours = ends.select("lo", F.explode(F.sequence("lo", "hi")).alias("h"))
+    return hours.join(n, "h", "left").select((F.col("h") - F.col("lo")).cast("int").alias("i"), F.coalesce("n", F.lit(0)).cast("double").alias("x"))
+
+
 H = "h AS (SELECT r.i::INT AS i, coalesce(n, 0)::DOUBLE AS x FROM range(0, 128) r(i) LEFT JOIN (SELECT epoch(ts)::BIGINT // 3600 - 473352 AS i, count(*) AS n FROM events GROUP BY 1) e ON e.i = r.i)"
 
 
@@ -106,12 +114,12 @@ def stft_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add()
 def stft_magnitude(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.stft(hourly(spark, sf), 32)
+    return signals.stft(all_hours(spark, sf), 32)
 
 
 @R.add()
 def fft_power(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.power_spectrum(hourly(spark, sf))
+    return signals.power_spectrum(all_hours(spark, sf))
 
 
 @R.add("SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))[len(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) // 2 + 1] AS moving_median FROM events")
@@ -121,7 +129,7 @@ def moving_median(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add()
 def butter_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.apply_filter(hourly(spark, sf), signals.butter_lowpass(2, 0.2))
+    return signals.apply_filter(all_hours(spark, sf), signals.butter_lowpass(2, 0.2))
 
 
 @R.add(f"""
