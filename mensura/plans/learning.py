@@ -116,8 +116,13 @@ def ols_fit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(m.intercept, 2), round(m.coefficients[0], 3), round(m.coefficients[1], 1))], "intercept double, b1 double, b2 double")
 
 
+#: Fixed value: the dimensions of an embedding.
+DIMENSIONS = 64
+XS = [f"x{i}" for i in range(DIMENSIONS)]
+
+
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "embeddings").select("vec_id", F.col("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)], (F.col("label") < 5).cast("int").alias("y"))
+    return load(spark, sf, "embeddings").select("vec_id", F.col("label"), *[F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(XS)], (F.col("label") < 5).cast("int").alias("y"))
 
 
 @R.add()
@@ -134,28 +139,28 @@ def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
 @R.add()
 def tree_fit(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
-    return learning.DecisionTreeClassifier(["x0", "x1", "x2"], "y", 3).fit(d).predict(d).select("vec_id", "y", "prediction")
+    return learning.DecisionTreeClassifier(XS, "y", 3).fit(d).predict(d).select("vec_id", "y", "prediction")
 
 
 @R.add()
 def forest_fit(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
-    return learning.RandomForestClassifier(["x0", "x1", "x2"], "y", "vec_id", 3, 2).fit(d).predict(d).select("vec_id", "y", "prediction")
+    return learning.RandomForestClassifier(XS, "y", "vec_id", 3, 2).fit(d).predict(d).select("vec_id", "y", "prediction")
 
 
 @R.add()
 def gboost(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
-    return learning.GradientBoostingClassifier(["x0", "x1", "x2"], "y", 3).fit(d).predict(d).select("vec_id", "y", "prediction")
+    return learning.GradientBoostingClassifier(XS, "y", 3).fit(d).predict(d).select("vec_id", "y", "prediction")
 
 
 @R.add()
 def logistic_fit(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
-    return learning.LogisticRegression(["x0", "x1", "x2"], "y", epochs=10).fit(d).predict(d).select("vec_id", "y", "prediction")
+    return learning.LogisticRegression(XS, "y", epochs=10).fit(d).predict(d).select("vec_id", "y", "prediction")
 
 
 @R.add()
 def gnb_predict(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
-    return learning.GaussianNaiveBayes(["x0", "x1", "x2"], "label").fit(d).predict(d).select("vec_id", "label", "prediction")
+    return learning.GaussianNaiveBayes(XS, "label").fit(d).predict(d).select("vec_id", "label", "prediction")

@@ -57,8 +57,8 @@ def kmers(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add()
 def needleman_wunsch(spark: SparkSession, sf: str) -> DataFrame:
-    d = _dna(spark, sf).select("item_id", F.substring("seq", 1, 40).alias("a"), F.substring("seq", 21, 40).alias("b"))
-    return text.needleman_wunsch(d, "a", "b").select("item_id", "alignment.*")
+    d = text.reverse_complement(_dna(spark, sf), "seq")
+    return text.needleman_wunsch(d, "seq", "reverse_complement").select("item_id", "alignment.*")
 
 
 @R.add()
@@ -149,6 +149,18 @@ def _matrix(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
     return e.select(F.col("vec_id").cast("int").alias("row"), F.posexplode(F.slice("embedding", 1, n)).alias("col", "val")).withColumn("val", F.col("val").cast("double"))
 
 
+def _whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors in all dimensions."""
+    e = load(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "val")).withColumn("val", F.col("val").cast("double"))
+
+
+def _gram(spark: SparkSession, sf: str) -> DataFrame:
+    """X' X of all vectors X: square, of as many rows as dimensions."""
+    x = _whole(spark, sf)
+    return linalg.mat_mul(linalg.transpose(x), x)
+
+
 M = "m AS (SELECT vec_id::INT AS r, c::INT AS c, embedding[c + 1]::DOUBLE AS v FROM embeddings, range(0, 8) x(c) WHERE vec_id < 8)"
 
 
@@ -183,14 +195,16 @@ def attention(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add()
 def lu_factors(spark: SparkSession, sf: str) -> DataFrame:
-    p, low, up = linalg.lu_decomposition(_matrix(spark, sf))
+    p, low, up = linalg.lu_decomposition(_gram(spark, sf))
     return linalg.mat_mul(low, up)
 
 
 @R.add()
 def solve(spark: SparkSession, sf: str) -> DataFrame:
-    m = _matrix(spark, sf)
-    return linalg.solve_linear(m, m.where("col = 0").select(F.col("row").alias("i"), F.col("val").alias("x")))
+    x = _whole(spark, sf)
+    y = load(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), F.col("label").cast("double").alias("y"))
+    right = x.join(y, "row").groupBy(F.col("col").alias("i")).agg(F.sum(F.col("val") * F.col("y")).alias("x"))
+    return linalg.solve_linear(linalg.mat_mul(linalg.transpose(x), x), right)
 
 
 # ---- graphs ------------------------------------------------------------------------------

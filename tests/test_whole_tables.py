@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 
-from mensura.operators import signals
+from mensura.operators import signals, text
 from mensura.plans import registry
 
 
@@ -22,3 +22,31 @@ def test_series_have_all_hours(spark, tmp_path):
     assert np.allclose([r["y"] for r in y], signals.iir(x, signals.butter_lowpass(2, 0.2)))
     frames = run["stft_magnitude"](spark, str(tmp_path)).collect()
     assert max(r["frame"] for r in frames) == -(-(300 - 32) // 8)
+
+
+def test_matrices_and_models_see_all_vectors_and_dimensions(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(90, 64)), np.arange(90) % 10
+    x[:, 40] = np.where(y < 5, -9.0, 9.0)
+    x = x.astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = registry.queries()
+    got = {r["i"]: r["x"] for r in run["solve"](spark, str(tmp_path)).collect()}
+    assert np.allclose([got[i] for i in range(64)], np.linalg.lstsq(x, y.astype(float), rcond=None)[0])
+    lu = {(r["row"], r["col"]): r["val"] for r in run["lu_factors"](spark, str(tmp_path)).collect()}
+    assert np.allclose(sorted(lu.values()), sorted((x.T @ x).ravel()), atol=1e-6)
+    for name in ("tree_fit", "logistic_fit"):
+        assert all(r["prediction"] == r["y"] for r in run[name](spark, str(tmp_path)).collect()), name
+
+
+def test_whole_sequences_are_aligned(spark, tmp_path):
+    rows = [(1, "the hidden road to the old north shore " * 4), (2, "a short one")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["item_id"]: r for r in registry.queries()["needleman_wunsch"](spark, str(tmp_path)).collect()}
+    dna = {i: "".join(c for c in t if c in "adehinorst").translate(str.maketrans("adehinorst", "ACGTACGTAC")) for i, t in rows}
+    for i, s in dna.items():
+        other = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        assert got[i]["a"].replace("-", "") == s and got[i]["b"].replace("-", "") == other
+        assert got[i]["score"] == text.align(s, other, 1, -1, -1)[0]
+    assert len(dna[1]) > 40
