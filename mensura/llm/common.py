@@ -1,11 +1,12 @@
-"""What the operators of this package share: written tables, row ids, skew-safe joins."""
+"""What the operators of this package share: written tables, row ids, lean workers."""
 
 from __future__ import annotations
 
-import re
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,28 +36,84 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, but for kept ones, are deleted at the end: all that is read from them must have run by then."""
+    mine: list[str] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mensura/{name}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-#: Plan nodes under which rows keep their places when a task is run again.
-_STEADY = re.compile(r"^[\s:+\-]*(Relation|LogicalRelation|LocalRelation|LogicalRDD|Project|Filter|SubqueryAlias|Range|MapIn\w+)\b")
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is one table of Parquet files of which rows and columns were chosen, and nothing else."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation" or node.relation().fileFormat().toString() != "Parquet":
+        return False
+    roots = sorted(r.rstrip("/") + "/" for r in node.relation().location().rootPaths().mkString("\n").split("\n"))
+    return not any(b.startswith(a) for a, b in zip(roots, roots[1:]))  # no file is read twice
 
 
-def with_row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
-    """df with a unique long per row that is the same in every later run of the plan.
+def with_row_ids(df: DataFrame, name: str = "rid", keep: bool = False) -> DataFrame:
+    """df with a struct (file, row) per row: the hash of its file's path and its place in that file.
 
-    Row ids follow file splits and places in them, so a plan that shuffles is written out first.
+    These come again the same in every plan over the files, however these are split and whatever
+    executors there are.  What isn't a table of Parquet files is written as one first (kept: see written).
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if not all(_STEADY.match(line) for line in plan.splitlines() if line.strip()):
-        df = written(df, "rows")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    if not _is_scan(df):
+        df = written(df, "rows", keep)
+    file, row = free_name(df, "file"), free_name(df, "row")
+    got = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return got.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(F.xxhash64(F.col(file)).alias("file"), F.col(row).alias("row")).alias(name))
+
+
+def with_numbers(df: DataFrame, name: str = "rid") -> DataFrame:
+    """df with a unique long per row, for plans that read it once; only tables of files give the same ones again in a task that runs anew, so others are written first."""
+    return (df if _is_scan(df) else written(df, "rows")).withColumn(name, F.monotonically_increasing_id())
+
+
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """make(), or what it gave before for the key.  A worker holds one such thing at a time, so that stages after each other don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives free memory back to the system: workers live on and would add up."""
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # other C libraries have no such function
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return leaner
 
 
 def column_or_null(df: DataFrame, name: str, kind: str):

@@ -1,10 +1,15 @@
-"""Line deduplication by passages of whole lines.
-
-From each line with words starts, and with each ends, a least passage: as few lines as have MIN_WORDS
-words together; lines without words between them do not count.  A longer passage is covered by
-its least passages to both ends, wherever it stands.  Least passages are counted over the whole
-table by 128-bit hashes; those that occur again are compared byte by byte; then the lines of every
-occurrence but the first go.
+"""Line deduplication by content-defined chunks of lines.
+
+A rolling hash runs over the hashes of lines with words, WINDOW lines at a time.  In every least run of
+lines of RUN words or more the line of least rolling hash is a boundary, so boundaries are where the
+content says, whatever was inserted before; a line of RUN words is a run of its own.  A chunk
+reaches from a boundary line to the next one that gives it enough words, both included.
+
+Chunks are counted over the whole table.  Around those that occur again grow the passages that are
+removed: as few lines as have MIN_WORDS words together.  A longer passage is covered by such least
+passages to both ends, wherever it stands, and each of them has a chunk that its own lines alone decide,
+so none is missed.  Least passages that occur again are compared byte by byte; then the lines of
+every occurrence but the first go.
 """
 
 from __future__ import annotations
@@ -17,80 +22,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import free_name, slices, with_row_ids, written
+from mensura.llm.common import free_name, lean, scratch, slices, with_row_ids, written
 
-#: Lines that the rolling hash of chunks sees, words from which a line is a chunk alone, words of a passage that is removed.
-WINDOW, STAND, MIN_WORDS = 2, 16, 25
+#: Lines that the rolling hash sees, words of a run with a boundary, words of a passage that is removed.
+WINDOW, RUN, MIN_WORDS = 2, 4, 25
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first line, lines, words) of each chunk; chunks cover all lines in their order."""
-    counts = [len(x.split()) for x in lines]
-    hashes = [int.from_bytes(blake2b(x, digest_size=8).digest(), "little") for x in lines]
+def rolling(hashes: list[int]) -> list[int]:
+    """The rolling hash that ends with each line."""
     drop = pow(_BASE, WINDOW, 1 << 64)
-    out, start, words, rolling = [], 0, 0, 0
-    for i, (n, h) in enumerate(zip(counts, hashes)):
-        rolling = (rolling * _BASE + h - (drop * hashes[i - WINDOW] if i >= WINDOW else 0)) & _MASK
-        if n >= STAND and start < i:
-            out.append((start, i - start, words))
-            start, words = i, 0
-        words += n
-        # the rolling hash as a fraction; a line ends a chunk with a chance of its words / STAND
-        if n >= STAND or (rolling * _BASE & _MASK) * STAND < n << 64:
-            out.append((start, i + 1 - start, words))
-            start, words = i + 1, 0
-    if start < len(lines):
-        out.append((start, len(lines) - start, words))
+    out, h = [], 0
+    for i, x in enumerate(hashes):
+        h = (h * _BASE + x - (drop * hashes[i - WINDOW] if i >= WINDOW else 0)) & _MASK
+        out.append(h * _BASE & _MASK)
+    return out
+
+
+def least_of_runs(words: list[int], values: list[int], run: int = RUN) -> list[int | None]:
+    """For the least run of lines with `run` words that starts with each line, the first line of least value; None where the lines do not suffice."""
+    out: list[int | None] = []
+    for a, n in enumerate(words):
+        b = a
+        while n < run and b + 1 < len(words):  # fewer than `run` steps, as every line has words
+            b += 1
+            n += words[b]
+        out.append(min(range(a, b + 1), key=values.__getitem__) if n >= run else None)
     return out
 
 
+class Cut:
+    """Lines with words of a text (numbers in the text, words of each), their boundaries and their chunks."""
+
+    def __init__(self, lines: list[bytes]):
+        import xxhash
+
+        counted = [(i, n) for i, x in enumerate(lines) if (n := len(x.split()))]
+        self.at = [i for i, _ in counted]
+        self.words = [n for _, n in counted]
+        self.chosen = least_of_runs(self.words, rolling([xxhash.xxh3_64_intdigest(lines[i]) for i in self.at]))
+        self.boundaries = sorted({b for b in self.chosen if b is not None})
+
+    def chunks(self, least: int) -> dict[int, int]:
+        """Last line of the chunk that starts with each boundary, where a boundary gives it `least` words."""
+        out, j, n = {}, 0, 0
+        ends = [0]
+        for w in self.words:
+            ends.append(ends[-1] + w)
+        for a in self.boundaries:
+            while j < len(self.boundaries) and ends[self.boundaries[j] + 1] - ends[a] < least:
+                j += 1
+            if j == len(self.boundaries):
+                break
+            out[a] = self.boundaries[j]
+        return out
+
+    def passages(self, least: int) -> list[tuple[int, int]]:
+        """(first, last) of the fewest lines of `least` words that start, or that end, with each line."""
+        ends, a, n = set(), 0, 0
+        for b, w in enumerate(self.words):
+            n += w
+            if n < least:
+                continue
+            if not ends:
+                ends.add((a, b))
+            while n - self.words[a] >= least:
+                n -= self.words[a]
+                a += 1
+                ends.add((a, b))  # b is the first end for this start
+            ends.add((a, b))  # a is the last start for this end
+        return sorted(ends)
+
+    def chunk_of(self, first: int) -> int:
+        """The first boundary that the lines from `first` on decide alone: the rolling hash of `first` itself sees the line before it."""
+        return self.chosen[first if self.words[first] >= RUN else first + 1]
+
+
+def chunk_words(min_words: int) -> int:
+    """Words of a chunk, such that every passage of min_words has one between boundaries that it decides itself.
+
+    Before the first of these are fewer than RUN words of the passage's first line and fewer than RUN of a run, after the
+    last one fewer than RUN.
+    """
+    return max(1, min_words - 3 * (RUN - 1))
+
+
+def chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
+    """(first line, lines, words) of the pieces that boundaries cut all lines into; wordless lines go with those before."""
+    cut = Cut(lines)
+    starts = sorted({0, *(cut.at[b] for b in cut.boundaries)}) if lines else []
+    return [(a, b - a, sum(len(x.split()) for x in lines[a:b])) for a, b in zip(starts, [*starts[1:], len(lines)])]
+
+
 def _lines(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def _name(chunk: bytes) -> tuple[int, int]:
-    d = blake2b(chunk, digest_size=16).digest()
+def _name(passage: bytes) -> tuple[int, int]:
+    d = blake2b(passage, digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def least_passages(lines: list[bytes], min_words: int) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, body without wordless lines) of the fewest lines of min_words words that start, or that end, with each line with words."""
-    counts = [(i, n) for i, x in enumerate(lines) if (n := len(x.split()))]
-    ends, a, words = set(), 0, 0
-    for b, (_, n) in enumerate(counts):
-        words += n
-        if words < min_words:
-            continue
-        if not ends:
-            ends.add((a, b))
-        while words - counts[a][1] >= min_words:
-            words -= counts[a][1]
-            a += 1
-            ends.add((a, b))  # b is the first end for this start
-        ends.add((a, b))  # a is the last start for this end
-    return [(counts[a][0], counts[b][0] + 1 - counts[a][0], b"\n".join([lines[i] for i, _ in counts[a : b + 1]])) for a, b in sorted(ends)]
+def grown_chunks(lines: list[bytes], min_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(chunk, its first line, first line, lines, h1, h2): names of a chunk and of a least passage around it."""
+    cut, known = Cut(lines), {}
+    ends = cut.chunks(chunk_words(min_words))
+    body = lambda a, b: b"\n".join([lines[i] for i in cut.at[a : b + 1]])
+    for a, b in cut.passages(min_words):
+        c = cut.chunk_of(a)
+        if c not in known:
+            known[c] = _name(body(c, ends[c]))[0]
+        yield (known[c], cut.at[c], cut.at[a], cut.at[b] + 1 - cut.at[a], *_name(body(a, b)))
 
 
 def _passage_table(rows: DataFrame, min_words: int) -> DataFrame:
-    """(key, rid, start, lines, h1, h2) for each least passage of rows (key, rid, text)."""
-    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(n, T.IntegerType()) for n in ("start", "lines")], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    """(key, rid, chunk, chunk_at, start, lines, h1, h2) for each least passage of rows (key, rid, text)."""
+    new = {"chunk": T.LongType(), "chunk_at": T.IntegerType(), "start": T.IntegerType(), "lines": T.IntegerType(), "h1": T.LongType(), "h2": T.LongType()}
+    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(n, t) for n, t in new.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64() if t == T.LongType() else pa.int32() for t in new.values()]
         for batch in batches:
             for texts, part in slices(batch):
-                at, cols = [], [[] for _ in range(4)]
+                at, cols = [], [[] for _ in kinds]
                 for i, t in enumerate(texts):
-                    for start, n, body in least_passages(_lines(t), min_words):
+                    for got in grown_chunks(_lines(t), min_words):
                         at.append(i)
-                        for col, v in zip(cols, (start, n, *_name(body))):
+                        for col, v in zip(cols, got):
                             col.append(v)
                 own = part.select([0, 1]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, pa.int32()) for c in cols[:2]], *[pa.array(c, pa.int64()) for c in cols[2:]]], schema.names)
+                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, cols, kinds)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _spans(found: list[dict] | None) -> list[tuple[int, int]]:
@@ -124,13 +189,13 @@ def _texts_of(rows: DataFrame) -> DataFrame:
                         body.append(b"\n".join([x for x in lines[c["start"] : c["start"] + c["lines"]] if x.split()]))
                 yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(body, pa.binary())], ["h1", "h2", "body"])
 
-    return rows.mapInArrow(run, "h1 bigint, h2 bigint, body binary")
+    return rows.mapInArrow(lean(run), "h1 bigint, h2 bigint, body binary")
 
 
 def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with its text without repeated passages of min_words words or more, and n_lines, lines_removed, words_removed, removed_spans.
 
-    Lines end with a line feed.  The first occurrence, by key (null first) and place in the table,
+    Lines end with a line feed.  The first occurrence, by key (null first), file and place in it,
     stays; occurrences within one document count too.  removed_spans: (first_line, lines) of the
     given text.  A null text stays null and has no lines; an empty text has one, empty line.  A text
     all of whose lines go becomes empty; its row stays.  Result columns replace columns of the
@@ -139,25 +204,29 @@ def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     new = ["n_lines", "lines_removed", "words_removed", "removed_spans"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     rid, found = free_name(docs, "rid"), free_name(docs, "found")
-    rows = with_row_ids(docs, rid)
-    table = written(_passage_table(rows.select(F.col(f"`{key}`").alias("key"), F.col(rid).alias("rid"), F.col(f"`{text}`").cast("string").alias("text")), min_words), "passages")
-    place = F.struct("key", "rid", "start", "lines")
-    again = written(table.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")).where("n > 1").drop("n"), "repeated")
-    # both sides are read anew, so that the join splits a passage with very many occurrences
-    hits = table.join(again, ["h1", "h2"]).withColumn("first", (F.col("rid") == F.col("at.rid")) & (F.col("start") == F.col("at.start")))
-    hits = hits.withColumn("kept_to", F.when(F.col("rid") == F.col("at.rid"), F.col("at.start") + F.col("at.lines")))
-
-    def attached(hits: DataFrame) -> DataFrame:
-        each = F.collect_list(F.struct("start", "lines", "h1", "h2", "first", "kept_to"))  # at most two a line of the document
-        mine = hits.groupBy(F.col("rid").alias(rid)).agg(each.alias(found))
-        return written(rows.join(mine, rid, "left"), "attached")
-
-    joined = attached(hits)
-    bodies = _texts_of(joined.where(F.col(found).isNotNull()).select(F.col(found), F.col(f"`{text}`").cast("string").alias("text")))
-    # equal hashes with unequal bytes: such passages stay
-    unequal = written(bodies.groupBy("h1", "h2", "body").count().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "unequal")
-    if unequal.limit(1).count():
-        joined = attached(hits.join(unequal, ["h1", "h2"], "left_anti"))
+    with scratch(docs.sparkSession):
+        rows = with_row_ids(docs, rid)
+        table = written(_passage_table(rows.select(F.col(f"`{key}`").alias("key"), F.col(rid).alias("rid"), F.col(f"`{text}`").cast("string").alias("text")), min_words), "chunks")
+        where = F.struct("rid", "chunk_at")
+        common = written(table.groupBy("chunk").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo <> hi").select("chunk"), "repeated")
+        # here and below both sides are read anew, so that the join splits what has very many occurrences
+        grown = written(table.join(common, "chunk", "left_semi").drop("chunk", "chunk_at"), "grown")
+        place = F.struct("key", "rid", "start", "lines")
+        again = written(grown.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")).where("n > 1").drop("n"), "passages")
+        hits = grown.join(again, ["h1", "h2"]).withColumn("first", (F.col("rid") == F.col("at.rid")) & (F.col("start") == F.col("at.start")))
+        hits = hits.withColumn("kept_to", F.when(F.col("rid") == F.col("at.rid"), F.col("at.start") + F.col("at.lines")))
+
+        def attached(hits: DataFrame) -> DataFrame:
+            each = F.collect_list(F.struct("start", "lines", "h1", "h2", "first", "kept_to"))  # at most two a line of the document
+            mine = hits.groupBy(F.col("rid").alias(rid)).agg(each.alias(found))
+            return written(rows.join(mine, rid, "left"), "attached", keep=True)
+
+        joined = attached(hits)
+        bodies = _texts_of(joined.where(F.col(found).isNotNull()).select(F.col(found), F.col(f"`{text}`").cast("string").alias("text")))
+        # equal hashes with unequal bytes: such passages stay
+        unequal = written(bodies.groupBy("h1", "h2", "body").count().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "unequal")
+        if unequal.limit(1).count():
+            joined = attached(hits.join(unequal, ["h1", "h2"], "left_anti"))
     return _cleaned(joined.drop(rid), docs, found, text)
 
 
@@ -188,4 +257,4 @@ def _cleaned(joined: DataFrame, docs: DataFrame, found: str, text: str) -> DataF
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(out[0], pa.string()), *[pa.array(c, pa.int64()) for c in out[1:4]], pa.array(out[4], arrow)], schema.names)
 
     order = [*docs.columns, *[n for n, _ in tail[1:]]]
-    return given.mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in order])
+    return given.mapInArrow(lean(run), schema).select(*[F.col(f"`{c}`") for c in order])

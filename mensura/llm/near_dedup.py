@@ -16,9 +16,7 @@ product of matrices; of the links between two classes one is checked on whole te
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -26,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import free_name, slices, with_row_ids, written
+from mensura.llm.common import free_name, lean, scratch, slices, with_row_ids, written
 from mensura.llm.decontaminate import words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 
 #: Columns of a product of matrices; representatives of a bucket's part at most, or bytes of their texts, on average.
-WIDTH, PART, PART_BYTES = 4096, 1024, 32_000_000
+WIDTH, PART, PART_BYTES = 2048, 1024, 32_000_000
 
 _U = np.uint64
 
@@ -116,7 +114,7 @@ def band_names(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def _signed(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     """(key, rid, h1, h2, bands) for rows (key, rid, text) with a word: the hash of all words, and the bands' names."""
-    kind = docs.schema["key"].dataType.simpleString()
+    kind, place = (docs.schema[c].dataType.simpleString() for c in ("key", "rid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "rid", "h1", "h2", "bands"]
@@ -131,22 +129,28 @@ def _signed(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * bands), pa.array(named.ravel()))
                 yield pa.RecordBatch.from_arrays([*own.columns, *halves, lists], names)
 
-    return docs.mapInArrow(run, f"key {kind}, rid bigint, h1 bigint, h2 bigint, bands array<bigint>")
-
-
-@lru_cache(64)
-def _bag(text: str, size: int) -> Counter:
-    words = words_of(text)
-    return Counter(zip(*(words[j:] for j in range(size)))) if len(words) >= size else Counter([tuple(words)])
+    return docs.mapInArrow(lean(run), f"key {kind}, rid {place}, h1 bigint, h2 bigint, bands array<bigint>")
 
 
 def similarity(a: str, b: str, size: int = SHINGLE) -> float:
-    """Weighted Jaccard similarity of two texts' shingles, by words and not by hashes."""
-    x, y = _bag(a, size), _bag(b, size)
-    n, m = x.total(), y.total()
-    if len(x) > len(y):
-        x, y = y, x
-    both = sum([min(c, y[s]) for s, c in x.items() if s in y])
+    """Weighted Jaccard similarity of two texts' shingles, by words and not by hashes; 8 bytes a word and step are held."""
+    x, y = words_of(a), words_of(b)
+    if len(x) < size or len(y) < size:
+        return float(x == y)
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in (*x, *y)), np.int64, len(x) + len(y))
+    code, most = ids, len(number)
+    for j in range(1, size):  # a shingle of j + 1 words is named by the one of its first j and the next word
+        if most * len(number) >= 1 << 62:
+            named, code = np.unique(code, return_inverse=True)
+            most = len(named)
+        code = code[:-1] * len(number) + ids[j:]
+        most *= len(number)
+    n, m = len(x) - size + 1, len(y) - size + 1
+    mine, often = np.unique(code[:n], return_counts=True)
+    other, there = np.unique(code[len(x) :], return_counts=True)
+    _, i, j = np.intersect1d(mine, other, assume_unique=True, return_indices=True)
+    both = int(np.minimum(often[i], there[j]).sum())
     return both / (n + m - both)
 
 
@@ -162,7 +166,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
             ok = pa.array([similarity(a[i].as_py(), b[i].as_py(), size) >= least for i in range(batch.num_rows)], pa.bool_())
             yield batch.select([0, 1]).filter(ok)
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,7 +209,7 @@ def _celled(texts: DataFrame, size: int) -> DataFrame:
                 got = [cells(shingles(words_of(t), size))[0].tobytes() for t in some]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], ["rid", "cells"])
 
-    return texts.select("rid", "text").mapInArrow(run, "rid bigint, cells binary")
+    return texts.select("rid", "text").mapInArrow(lean(run), "rid bigint, cells binary")
 
 
 def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
@@ -293,7 +297,7 @@ def _joined(unsettled: DataFrame, sets: DataFrame, least: float, refused: frozen
         out = found(group) if group else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names)
 
-    got = rows.mapInArrow(run, "la bigint, lb bigint, a bigint, b bigint")
+    got = rows.mapInArrow(lean(run), "la bigint, lb bigint, a bigint, b bigint")
     return got.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
@@ -304,14 +308,15 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").select("rid", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _links(reps: DataFrame, base: DataFrame, least: float, size: int, bands: int, part: int = PART) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between representatives, enough for their classes though not all pairs of a class; labels (rid, label) of those in shared buckets.
+def _links(reps: DataFrame, same: DataFrame, base: DataFrame, least: float, size: int, bands: int, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between representatives (rid, bands), whose rows of base `same` names, enough for their classes though not all pairs of a class; labels (rid, label) of those in shared buckets.
 
     First leaders are compared with their buckets; then all pairs of different classes in buckets of several.
     That is done once, and again only where texts refuse a pair whose hashes agree.
     """
     buckets = _shared_buckets(reps, bands)
-    texts = written(base.join(buckets.select("rid").distinct(), "rid", "left_semi").select("rid", "text"), "texts")
+    wanted = written(same.select("rid", "rep").join(buckets.select("rid").distinct(), "rid"), "wanted")
+    texts = written(base.select(F.col("rid").alias("rep"), "text").join(wanted, "rep").select("rid", "text"), "texts")
     links = written(_verified(written(_led(buckets), "pairs"), texts, size, least), "links")
     labels = _relabelled(texts.select("rid", F.col("rid").alias("label")), links)
     words = texts.select("rid", F.length(F.col("text").cast("binary")).alias("n_bytes"))  # as many as cells take, nearly
@@ -334,12 +339,13 @@ def _links(reps: DataFrame, base: DataFrame, least: float, size: int, bands: int
 def classes(base: DataFrame, least: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, rid, class_rid, n_links) for each row (key, rid, text) with a word."""
     signed = written(_signed(base, bands, rows, size), "signed")
-    same = written(signed.groupBy("h1", "h2").agg(F.min("rid").alias("rep")), "same")
-    reps = written(signed.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "bands"), "reps")
-    links, labels = _links(reps, base, least, size, bands)
-    ends = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
-    of_rep = same.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").join(ends.withColumnRenamed("v", "rep"), "rep", "left")
-    of_rep = of_rep.select("h1", "h2", F.coalesce("label", "rep").alias("class_rid"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # rep: the row that stands for equal words; rid, from here on, its number
+    same = written(signed.groupBy("h1", "h2").agg(F.min("rid").alias("rep")).withColumn("rid", F.monotonically_increasing_id()), "same")
+    reps = written(signed.select(F.col("rid").alias("rep"), "bands").join(same.select("rep", "rid"), "rep").select("rid", "bands"), "reps")
+    links, labels = _links(reps, same, base, least, size, bands)
+    ends = links.select(F.col("a").alias("rid")).union(links.select("b")).groupBy("rid").agg(F.count(F.lit(1)).alias("n_links"))
+    of_rep = same.join(labels, "rid", "left").join(ends, "rid", "left")
+    of_rep = of_rep.select("h1", "h2", F.coalesce("label", "rid").alias("class_rid"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return signed.select("key", "rid", "h1", "h2").join(written(of_rep, "classes"), ["h1", "h2"]).select("key", "rid", "class_rid", "n_links")
 
 
@@ -358,12 +364,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     new = ["class_id", "class_size", "n_links", "kept"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     own = free_name(docs, "rid")
-    placed = with_row_ids(docs, own)
-    base = placed.select(F.col(f"`{key}`").alias("key"), F.col(own).alias("rid"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = written(classes(base, least, size, bands, rows), "members")
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("first")
-    groups = written(found.groupBy("class_rid").agg(first, F.count(F.lit(1)).alias("class_size")), "groups")
-    members = found.join(groups, "class_rid").select(F.col("rid").alias(own), F.col("first.key").alias("class_id"), "class_size", "n_links", (F.col("rid") == F.col("first.rid")).alias("kept"))
+    with scratch(docs.sparkSession):
+        placed = with_row_ids(docs, own, keep=True)
+        base = placed.select(F.col(f"`{key}`").alias("key"), F.col(own).alias("rid"), F.col(f"`{text}`").cast("string").alias("text"))
+        found = written(classes(base, least, size, bands, rows), "members")
+        first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("first")
+        groups = written(found.groupBy("class_rid").agg(first, F.count(F.lit(1)).alias("class_size")), "groups")
+        members = found.join(groups, "class_rid").select(F.col("rid").alias(own), F.col("first.key").alias("class_id"), "class_size", "n_links", (F.col("rid") == F.col("first.rid")).alias("kept"))
+        members = written(members, "members", keep=True)
     out = placed.join(members, own, "left")
     alone = F.col("kept").isNull()
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(alone, F.col(f"`{key}`")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("kept", F.lit(True)).alias("kept"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import column_or_null, free_name, slices, with_row_ids, written
+from mensura.llm.common import column_or_null, lean, slices, written
 from mensura.llm.decontaminate import words_of
 from mensura.llm.url_filters import split_url
 
@@ -161,13 +161,11 @@ def judge(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, te
     those of probability 0.5 or more; a document without faults is kept.  Null texts count as empty,
     null keys have neither label nor page, and without labels all rates are one half.
     """
-    rid = free_name(docs, "rid")
-    placed = with_row_ids(docs, rid)
     low = F.when(F.col("quality") == 0, 1).otherwise(0)
     marks = labels.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("key")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"), F.max(low).alias("low"))
     marks = written(marks, "marks")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    base = placed.select(F.col(f"`{key}`").alias("key"), F.col(rid).alias("rid"), column_or_null(docs, site, "string").alias("site"), body.alias("text"))
+    base = docs.select(F.col(f"`{key}`").alias("key"), column_or_null(docs, site, "string").alias("site"), body.alias("text"))
     if evidence is None:
         n, m = marks.count(), 12_000
         # keys are drawn before the texts are fetched, so that the join brings a bounded sample of texts
@@ -180,9 +178,9 @@ def judge(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, te
         for batch in batches:
             for texts, part in slices(batch):
                 r = shared.value.ratios(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(r[:, 0]), pa.array(r[:, 1])], ["key", "rid", "site", "r_toxic", "r_low"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(r[:, 0]), pa.array(r[:, 1])], ["key", "site", "r_toxic", "r_low"])
 
-    rows = written(base.mapInArrow(run, f"key {kind}, rid bigint, site string, r_toxic double, r_low double"), "ratios")
+    rows = written(base.mapInArrow(lean(run), f"key {kind}, site string, r_toxic double, r_low double"), "ratios")
     if pages is not None:
         host, path = split_url(F.col("url"))
         of = pages.where(F.col(f"`{page_key}`").isNotNull()).groupBy(F.col(f"`{page_key}`").alias("key")).agg(F.min("url").alias("url"))
@@ -191,7 +189,7 @@ def judge(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, te
     else:
         rows = rows.withColumn("host", F.lit(None).cast("string")).withColumn("path", F.lit(None).cast("string"))
     rows = rows.join(marks, "key", "left").withColumn("labelled", F.col("toxic").isNotNull().cast("int"))
-    rows = written(rows.select("key", "rid", F.coalesce("host", "site", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "r_toxic", "r_low", "labelled", *[F.coalesce(c, F.lit(0)).alias(c) for c in FAULTS]), "sited")
+    rows = written(rows.select("key", F.coalesce("host", "site", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "r_toxic", "r_low", "labelled", *[F.coalesce(c, F.lit(0)).alias(c) for c in FAULTS]), "sited")
     sums = [F.sum("labelled").alias("n"), *[F.sum(c).alias(c) for c in FAULTS]]
     paths = written(rows.groupBy("host", "path").agg(*sums), "paths")
     hosts = written(paths.groupBy("host").agg(*[F.sum(c).alias(f"h_{c}") for c in ("n", *FAULTS)]), "hosts")

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.common import free_name, with_row_ids, written
+from mensura.llm.common import free_name, with_numbers, written
 
 BINS = 4096
 
@@ -123,7 +123,7 @@ def assign(docs: DataFrame, shards: int | None = 24, target_bytes: int | None =
     rid = free_name(docs, "rid")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     named = [c for c in labels if c in docs.columns]
-    rows = with_row_ids(docs.select(F.col(f"`{key}`").alias("key"), body.alias("t"), *[F.col(f"`{c}`").cast("string").alias(f"label{i}") for i, c in enumerate(named)]), rid)
+    rows = with_numbers(docs.select(F.col(f"`{key}`").alias("key"), body.alias("t"), *[F.col(f"`{c}`").cast("string").alias(f"label{i}") for i, c in enumerate(named)]), rid)
     codes = [F.pmod(F.xxhash64(f"label{i}"), F.lit(1024)).alias(f"code{i}") for i in range(len(named))]
     # by text, then by row: 28 and 12 bits
     tie = F.shiftleft(F.xxhash64("t").bitwiseAND((1 << 28) - 1), 12).bitwiseOR(F.xxhash64(rid).bitwiseAND((1 << 12) - 1))

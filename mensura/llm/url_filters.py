@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import LOWER, UPPER, free_name, with_row_ids, written
+from mensura.llm.common import LOWER, UPPER, written
 
 #: Fixed value: a segment that names nothing but a number, a date or a long hexadecimal id, with an extension or without.
 VARIABLE = r"^(?:[0-9][0-9_\-]*|[0-9a-fA-F\-]{16,})(\.[A-Za-z0-9]{1,5})?$"
@@ -97,10 +97,8 @@ def judge(pages: DataFrame, labels: DataFrame | None, rules: dict[str, str], url
     longest that fits decides, else purity under `threshold` blocks.  Pages without any labels
     around get the table's purity, 0.5 and allow for an unlabelled table.  A null url is host ''.
     """
-    rid = free_name(pages, "rid")
-    placed = with_row_ids(pages.select(F.col(f"`{key}`"), F.col(f"`{url}`")), rid)
     host, path = split_url(F.col(f"`{url}`"))
-    rows = placed.select(F.col(f"`{key}`").alias("page"), F.col(rid).alias("rid"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(f"`{key}`").alias("page"), host.alias("host"), path.alias("path"))
     if labels is not None:
         ok = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False)).cast("int")
         marks = labels.where(F.col(f"`{label_key}`").isNotNull()).groupBy(F.col(f"`{label_key}`").alias("page")).agg(F.min(ok).alias("good"))
