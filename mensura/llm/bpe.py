@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import slices
+from mensura.llm.common import free_name, held, lean, slices
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,6 +39,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check(spec: dict) -> None:
+    """Raises ValueError for a vocabulary file that asks for what this encoder does not do."""
+    model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for k in ("normalizer",) if spec.get(k)]
+    odd += ["model"] * (model.get("type", "BPE") != "BPE")
+    odd += ["pre_tokenizer"] * (before.get("type") != "ByteLevel" or bool(before.get("add_prefix_space")) or not before.get("use_regex", True))
+    odd += ["decoder"] * (after.get("type") != "ByteLevel")
+    odd += [t["content"] for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError(f"this encoder doesn't know the vocabulary's {', '.join(odd)}")
+
+
 class TrieEncoder:
     """A byte-level BPE vocabulary and its trie traversal."""
 
@@ -47,6 +60,7 @@ class TrieEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         letters = byte_alphabet()
         raw = lambda s: bytes(letters[c] for c in s)
         self.vocab = {raw(tok): i for tok, i in spec["model"]["vocab"].items() if all(c in letters for c in tok)}
@@ -220,16 +234,6 @@ class TrieEncoder:
             return whole.decode("utf-8", "replace").encode()
 
 
-_ENCODERS: dict[str, TrieEncoder] = {}
-
-
-def encoder(path: str) -> TrieEncoder:
-    """One encoder a worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TrieEncoder(path)
-    return _ENCODERS[path]
-
-
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """docs with the token ids of every whole text, and the text that these ids decode to.
 
@@ -249,12 +253,12 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 def _run(docs: DataFrame, vocabulary: str, text: str, new: dict[str, T.DataType], kind: str) -> DataFrame:
     names = list(new)
     keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names} and not (kind == "digests" and c == text)]
-    own = "__text"
+    own = free_name(docs, "own_text")
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(own))
     schema = T.StructType([*given.schema.fields[:-1], *[T.StructField(n, t) for n, t in new.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = held(("bpe", vocabulary), lambda: TrieEncoder(vocabulary))
         for batch in batches:
             for texts, part in slices(batch):
                 ids = enc.encode_batch(texts)
@@ -271,4 +275,4 @@ def _run(docs: DataFrame, vocabulary: str, text: str, new: dict[str, T.DataType]
                         done.append(pa.array([x.decode() for x in back]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *done], [*batch.schema.names[:-1], *names])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import free_name, slices, with_row_ids
+from mensura.llm.common import free_name, held, lean, slices, with_row_ids
 
 #: Bytes of item texts whose windows one pass holds.
 PASS_BYTES = 128 * 1024
@@ -115,8 +115,6 @@ class Windows:
         return len(words), set().union(*(self.items[p] for _, p in found)), spans
 
 
-_SEARCHES: dict[object, Windows] = {}
-
 SPAN = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType())]))
 
 
@@ -127,11 +125,7 @@ def _search(docs: DataFrame, text: str, items: list[tuple[str, str | None]], siz
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (size, tuple(items))
-        if key not in _SEARCHES:
-            _SEARCHES.clear()
-            _SEARCHES[key] = Windows(items, size)
-        windows = _SEARCHES[key]
+        windows = held(("windows", size, tuple(items)), lambda: Windows(items, size))
         span = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64())]))
         for batch in batches:
             for texts, part in slices(batch):
@@ -143,7 +137,7 @@ def _search(docs: DataFrame, text: str, items: list[tuple[str, str | None]], siz
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *done], names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -153,8 +147,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     ids (as strings) of items with a window in the document; hit_spans: maximal runs of words inside
     occurrences.  Null and wordless texts have no words and no hits; items without words or without
     an id give nothing.  Rows are answered one by one, repeated ones too.  Result columns replace
-    columns of the same names.  docs must have a plan whose rows come again in the same order only
-    if the items need more than one pass; it is then written out first where it doesn't.
+    columns of the same names.  If the items need more than one pass, docs is written out first where it
+    isn't a table of files, and passes are brought together by files and places in them.
     """
     new = {"n_words", "n_hit", "items", "hit_spans", "contaminated"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new or c == text])
@@ -171,7 +165,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         found = _search(docs, text, passes[0], size)
     else:
         rid = free_name(docs, "rid")
-        docs = with_row_ids(docs, rid)
+        docs = with_row_ids(docs, rid, keep=True)
         each = [_search(docs.select(rid, text), text, p, size).drop(text) for p in passes]
         both = each[0]
         for e in each[1:]:

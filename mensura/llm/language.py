@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import slices
+from mensura.llm.common import free_name, lean, slices
 
 #: Families of languages by ISO 639-1 code.  A language that is not here is a family of its own.
 FAMILIES = {
@@ -40,20 +40,54 @@ BITS = 16
 SIZE = 1 << BITS
 _LETTER = re.compile(r"[^\W\d_]").search
 
+#: Bytes of text whose features are held at once.
+PIECE = 1 << 16
+
 
 def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang.lower() in langs), lang)
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all texts in a row, and where each text's begin.  Every text has two at least."""
-    parts = [b" %b " % t.lower().encode("utf-8", "replace") for t in texts]
-    ends = np.cumsum([len(p) for p in parts])
-    raw = np.frombuffer(b"".join(parts) + b"  ", np.uint8)
+def features(raw: np.ndarray) -> np.ndarray:
+    """Feature numbers of the trigrams and bigrams that start with each byte but the last two."""
     a, b, c = (raw[i : len(raw) - 2 + i].astype(np.uint32) for i in range(3))
     three = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B) + c * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
     two = (a * np.uint32(0x27D4EB2F) + b * np.uint32(0x165667B1) + np.uint32(77)) >> np.uint32(32 - BITS)
-    return np.column_stack((three, two)).ravel().astype(np.int32), np.concatenate(([0], ends[:-1])) * 2
+    return np.column_stack((three, two)).ravel().astype(np.int32)
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(texts, their features in a row, where each one's begin), PIECE bytes or so at a time; a longer text comes in several."""
+    some: list[tuple[int, bytes]] = []
+    size = 0
+
+    def joined() -> tuple[list[int], np.ndarray, np.ndarray]:
+        starts = np.cumsum([0, *(len(p) for _, p in some[:-1])]) * 2
+        return [i for i, _ in some], features(np.frombuffer(b"".join(p for _, p in some) + b"  ", np.uint8)), starts
+
+    for i, t in enumerate(texts):
+        raw = b" %b " % t.lower().encode("utf-8", "replace")
+        if some and size + len(raw) > PIECE:
+            yield joined()
+            some, size = [], 0
+        if len(raw) > PIECE:
+            padded = np.frombuffer(raw + b"  ", np.uint8)
+            for at in range(0, len(raw), PIECE):
+                yield [i], features(padded[at : at + PIECE + 2]), np.zeros(1, int)
+        else:
+            some.append((i, raw))
+            size += len(raw)
+    if some:
+        yield joined()
+
+
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text and their shares of all its features."""
+    counts = np.zeros(SIZE, np.int64)
+    for _, at, _ in pieces([text]):
+        counts += np.bincount(at, minlength=SIZE)
+    at = np.flatnonzero(counts)
+    return at.astype(np.int32), (counts[at] / counts.sum()).astype(np.float32)
 
 
 @dataclass
@@ -69,9 +103,11 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.families or not texts:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        at, starts = features([t or "" for t in texts])
-        sums = np.add.reduceat(self.weights[at], starts, axis=0, dtype=np.float64)
-        margins = sums / np.diff(np.append(starts, len(at)))[:, None] + self.bias
+        margins, n = np.zeros((len(texts), len(self.bias))), np.zeros(len(texts), int)
+        for which, at, starts in pieces([t or "" for t in texts]):
+            margins[which] += np.add.reduceat(self.weights[at], starts, axis=0, dtype=np.float64)
+            n[which] += np.diff(np.append(starts, len(at)))
+        margins = margins / n[:, None] + self.bias
         column = {p: len(self.families) + i for i, p in enumerate(self.pairs)}
         langs, scores = [], []
         for t, m in zip(texts, margins):
@@ -123,36 +159,36 @@ def _machine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, scale: fl
     return w * scale, bias
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, languages: int = 64, cost: float = 10.0) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, cost: float = 10.0) -> Model:
     """A model from rows with a text that has letters and a language.
 
     At most about per_language rows of each language are drawn, by hashes of key and text, and at most
-    2 x per_language x languages are ever held; rows of one key and text are drawn together.
-    Beyond the most frequent `languages` languages none is learned.  Without rows the model
-    knows no language.
+    2 x per_language for each language are ever held; rows of one key and text are drawn together.
+    Every language is learned; the driver holds one row of weights for each family and each pair
+    of a family's languages.  Without rows the model knows no language.
     """
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(9)).alias("draw")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()  # as many as there are languages
     if not counts:
         return Model([], {}, [], np.zeros((SIZE, 0), np.float32), np.zeros(0))
     chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(1.0, per_language / r["count"])))])
     place = (F.shiftrightunsigned("draw", 11) / float(1 << 53)).cast("double")
-    drawn = rows.where(F.col("lang").isin([r["lang"] for r in counts]) & (place < chance[F.col("lang")]))
+    drawn = rows.where(place < chance[F.col("lang")])
     schema = "lang string, draw bigint, at array<int>, share array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, part in slices(batch):
-                got = [np.unique(features([t])[0], return_counts=True) if _LETTER(t) else None for t in texts]
+                got = [shares(t) if _LETTER(t) else None for t in texts]
                 have = pa.array([g is not None for g in got])
                 some = [g for g in got if g is not None]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).filter(have) for c in ("lang", "draw")], pa.array([g[0] for g in some], pa.list_(pa.int32())), pa.array([(g[1] / g[1].sum()).astype(np.float32) for g in some], pa.list_(pa.float32()))],
+                    [*[part.column(c).filter(have) for c in ("lang", "draw")], pa.array([g[0] for g in some], pa.list_(pa.int32())), pa.array([g[1] for g in some], pa.list_(pa.float32()))],
                     ["lang", "draw", "at", "share"],
                 )
 
     most = 2 * per_language * len(counts)
-    sample = sorted(drawn.select("lang", "draw", "text").mapInArrow(run, schema).orderBy("draw", "lang").limit(most).collect(), key=lambda r: (r["draw"], r["lang"], r["at"]))
+    sample = sorted(drawn.select("lang", "draw", "text").mapInArrow(lean(run), schema).orderBy("draw", "lang").limit(most).collect(), key=lambda r: (r["draw"], r["lang"], r["at"]))
     by = defaultdict(list)
     for r in sample:
         by[r["lang"]].append((np.array(r["at"]), np.array(r["share"], np.float64)))
@@ -183,17 +219,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool
     with score 0.  Rows are answered one by one; result columns replace columns of the same names.
     """
     names = ["lang_pred", "score"]
-    given = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names and (keep_text or c != text)], F.col(f"`{text}`").cast("string").alias("__text"))
+    given = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names and (keep_text or c != text)], F.col(f"`{text}`").cast("string").alias(free_name(docs, "own_text")))
     schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE x machines floats, machines bounded by `languages`
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE floats for each machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, part in slices(batch, 500_000):
+            for texts, part in slices(batch):
                 langs, scores = shared.value.predict(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 def remainder(key: str) -> Column:

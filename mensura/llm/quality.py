@@ -110,7 +110,7 @@ def fit_evidence(labelled: DataFrame, sample_rows: int = 12_000, size: int = 400
                 names = list(each)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[x] for x in names], pa.int64()) for c in (each, *marked)]], ["feature", "n", *FAULTS])
 
-    counts = drawn.mapInArrow(count, "feature string, n bigint, toxic bigint, low bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *FAULTS)]).where(F.col("n") >= least)
+    counts = drawn.mapInArrow(lean(count), "feature string, n bigint, toxic bigint, low bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *FAULTS)]).where(F.col("n") >= least)
     counts = written(counts, "features")
     total = drawn.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FAULTS]).first()
     number: dict[str, int] = {}
@@ -126,7 +126,7 @@ def fit_evidence(labelled: DataFrame, sample_rows: int = 12_000, size: int = 400
                 own = [sorted(number[f] for f in features(t) if f in number) for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(own, pa.list_(pa.int32()))], [*FAULTS, "own"])
 
-    got = drawn.mapInArrow(rows, "toxic int, low int, own array<int>").collect()
+    got = drawn.mapInArrow(lean(rows), "toxic int, low int, own array<int>").collect()
     got.sort(key=lambda r: (r["own"], r["toxic"], r["low"]))
     weights, bias = np.zeros((len(number), len(FAULTS))), np.zeros(len(FAULTS))
     for k, c in enumerate(FAULTS):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import slices
+from mensura.llm.common import free_name, held, lean, slices
 
 #: Pre-tokens a worker remembers at most, and the length beyond which it remembers none.
 CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
@@ -68,9 +68,6 @@ class PieceCounter:
         return out
 
 
-_COUNTERS: dict[str, PieceCounter] = {}
-
-
 def count_tokens(docs: DataFrame, model: str, text: str = "text", limit: int = 4096) -> DataFrame:
     """docs, without the text, with n_bytes, n_tokens and over_limit (n_tokens > limit).
 
@@ -81,18 +78,16 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", limit: int = 4
     """
     names = ["n_bytes", "n_tokens", "over_limit"]
     keep = [c for c in docs.columns if c != text and c.lower() not in names]
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_name(docs, "own_text")))
     schema = T.StructType([*given.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        if model not in _COUNTERS:
-            _COUNTERS[model] = PieceCounter(model)
-        counter = _COUNTERS[model]
+        counter = held(("pieces", model), lambda: PieceCounter(model))
         for batch in batches:
             for texts, part in slices(batch):
                 size = pc.fill_null(pc.binary_length(part.column(part.num_columns - 1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], size, pa.array(counter.count(texts), pa.int64())], schema.names)
 
-    return given.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return given.mapInArrow(lean(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)
