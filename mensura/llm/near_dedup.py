@@ -316,7 +316,8 @@ def _links(reps: DataFrame, same: DataFrame, base: DataFrame, least: float, size
     """
     buckets = _shared_buckets(reps, bands)
     wanted = written(same.select("rid", "rep").join(buckets.select("rid").distinct(), "rid"), "wanted")
-    texts = written(base.select(F.col("rid").alias("rep"), "text").join(wanted, "rep").select("rid", "text"), "texts")
+    # merge, here and where texts meet classes: such tables grow with the corpus, so they are not broadcast at any size
+    texts = written(base.select(F.col("rid").alias("rep"), "text").join(wanted.hint("merge"), "rep").select("rid", "text"), "texts")
     links = written(_verified(written(_led(buckets), "pairs"), texts, size, least), "links")
     labels = _relabelled(texts.select("rid", F.col("rid").alias("label")), links)
     words = texts.select("rid", F.length(F.col("text").cast("binary")).alias("n_bytes"))  # as many as cells take, nearly
@@ -372,6 +373,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
         groups = written(found.groupBy("class_rid").agg(first, F.count(F.lit(1)).alias("class_size")), "groups")
         members = found.join(groups, "class_rid").select(F.col("rid").alias(own), F.col("first.key").alias("class_id"), "class_size", "n_links", (F.col("rid") == F.col("first.rid")).alias("kept"))
         members = written(members, "members", keep=True)
-    out = placed.join(members, own, "left")
+    out = placed.join(members.hint("merge"), own, "left")
     alone = F.col("kept").isNull()
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(alone, F.col(f"`{key}`")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("kept", F.lit(True)).alias("kept"))
