@@ -246,3 +246,57 @@ def test_chunks_cover_lines_and_resist_shifts():
     shifted = line_dedup.chunks([b"an inserted line", *lines])
     tail = {(a - 1, n) for a, n, _ in shifted if a > 30}
     assert len(tail - {(a, n) for a, n, _ in whole}) == 0
+
+
+def test_each_passage_has_a_chunk_that_its_lines_alone_decide():
+    rng = random.Random(13)
+    line = lambda: " ".join(words(rng, rng.choice([1, 1, 2, 3, 4, 5, 9, 16, 30]))).encode()
+    for _ in range(400):
+        passage = [line() for _ in range(rng.randint(1, 20))]
+        least = line_dedup.Cut(passage).passages(25)
+        seen = []
+        for _ in range(2):
+            before, after = [line() for _ in range(rng.randint(0, 9))], [line() for _ in range(rng.randint(0, 9))]
+            cut = line_dedup.Cut([*before, *passage, *after])
+            ends, found = cut.chunks(line_dedup.chunk_words(25)), {}
+            for a, b in cut.passages(25):
+                c = cut.chunk_of(a)
+                assert a <= c <= ends[c] <= b
+                found[a - len(before), b - len(before)] = (c - len(before), ends[c] - len(before))
+            assert found.keys() >= set(least)
+            seen.append([found[x] for x in least])
+        assert seen[0] == seen[1]
+
+
+def test_boundaries_are_least_of_runs():
+    rng = random.Random(14)
+    for _ in range(300):
+        sizes = [rng.randint(1, 6) for _ in range(rng.randint(0, 15))]
+        values = [rng.randint(0, 5) for _ in sizes]
+        want = []
+        for a in range(len(sizes)):
+            run = next((range(a, b + 1) for b in range(a, len(sizes)) if sum(sizes[a : b + 1]) >= 4), None)
+            want.append(None if run is None else next(i for i in run if values[i] == min(values[j] for j in run)))
+        assert line_dedup.least_of_runs(sizes, values, 4) == want
+
+
+def test_similarity_is_brute_force():
+    rng = random.Random(15)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        x, y = (Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else Counter([tuple(w)]) for w in (a, b))
+        want = sum((x & y).values()) / sum((x | y).values())
+        assert near_dedup.similarity(" ".join(a), " ".join(b), 3) == want
+    many = [f"w{i}" for i in range(20_000)]  # so many words that shingles are named step by step
+    assert near_dedup.similarity(" ".join(many), " ".join(many[:-1]), 5) == 19_995 / 19_996
+
+
+def test_operators_of_very_long_texts(spark):
+    rng = random.Random(16)
+    lines = [" ".join(words(rng, 12)) for _ in range(25_000)]
+    long = "\n".join(lines)  # 1.8 MB
+    docs = spark.createDataFrame([(1, long), (2, long.replace(lines[7], "another line")), (3, "short")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
+    assert (got[1]["class_id"], got[2]["class_id"], got[3]["class_id"]) == (1, 1, 3)
+    kept = {r["doc_id"]: r for r in line_dedup.remove_repeated(docs).collect()}
+    assert kept[1]["text"] == long and kept[2]["text"] == "another line"

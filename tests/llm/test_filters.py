@@ -171,3 +171,49 @@ def test_shards_of_odd_tables(spark):
     assert sharding.assign(docs.limit(0), 24).count() == 0
     many = sharding.assign(spark.range(500).selectExpr("id as doc_id", "repeat('x', 92) as text"), None, target_bytes=5000).collect()
     assert len({r["shard"] for r in many}) == 10
+
+
+def test_language_of_very_long_texts_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    model = language.Model(["a", "b"], {"a": ["a"], "b": ["b"]}, [], rng.normal(size=(language.SIZE, 2)).astype(np.float32), np.zeros(2))
+    long = "some words of a long text " * 300_000
+    tracemalloc.start()
+    langs, scores = model.predict(["x", long, "y z"])
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    raw = np.frombuffer(b" " + long.encode() + b"   ", np.uint8)
+    margins = model.weights[language.features(raw)].mean(axis=0, dtype=np.float64)
+    assert langs[1] == "ab"[int(margins.argmax())] and abs(scores[1] - language._logistic(margins.max())) < 1e-6
+    at, share = language.shares(long)
+    assert np.array_equal(at, np.unique(language.features(raw))) and abs(share.sum() - 1) < 1e-4
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 70) * 5} {chr(0x4E00 + i % 70) * 3}", f"l{i % 70}") for i in range(210)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(map(len, model.langs.values())) == 70 and model.predict([rows[65][1]])[0] == ["l65"]
+
+
+def test_language_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "abc", "x", "y")], "doc_id long, text string, __text string, own_text string")
+    model = language.train(docs.withColumn("lang", docs["__text"]))
+    assert language.identify(docs, model).columns == ["doc_id", "text", "__text", "own_text", "lang_pred", "score"]
+    assert language.identify(docs, model).first()["lang_pred"] == "x"
+
+
+def test_cuts_are_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, "x" * rng.choice([3, 3, 3, 50, rng.randint(0, 400)])) for i in range(500)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    left = sorted((r["size"] for r in got if r["shard"] == 0))
+    right = sorted((r["size"] for r in got if r["shard"] == 1))
+    assert left[-1] <= right[0] or sorted(r["text_crc32"] for r in got if r["shard"] == 0)[-1] <= min(r["text_crc32"] for r in got if r["shard"] == 1)
+    whole, best, total = sum(left) + sum(right), None, 0
+    for s in [0, *sorted(left + right)]:
+        total += s
+        best = min(x for x in (best, abs(whole / 2 - total)) if x is not None)
+    assert abs(whole / 2 - sum(left)) <= max(best, max(left + right) / 2)

@@ -37,4 +37,16 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"]: r["ids_sha256"] for r in got.collect()} == {k: r["ids_sha256"] for k, r in final.items()}
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    rows, bench = small_corpus()
+    odd = [(*r, "x", i) for i, r in enumerate([*rows[:30], rows[0], (None, rows[1][1], "de", "s", 0), (None, None, None, None, None), (5, "", "en", "s", 0)])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rid string, kept long"
+    for name, given in (("odd", odd), ("none", [])):
+        spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len({r["doc_id"] for r in got}) == len(got) and len(got) >= (29 if given else 0) * 0.9
+        assert all(r["rid"] == "x" for r in got)
+
+
 assert sys.modules["tests_llm_helpers"]

@@ -88,3 +88,20 @@ def test_pairs_that_stay_apart(a, b):
     i, j = own.vocab[a.encode()], own.vocab[b.encode()]
     merged = np.frombuffer(own.encode_words([a + b])[a + b], "<u4").tolist()
     assert own.beside(i, j) == (merged == [i, j])
+
+
+def test_other_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two", "x", "y")], "doc_id long, text string, __text string, own_text string")
+    assert bpe.digests(docs, BPE).columns[:3] == ["doc_id", "__text", "own_text"] and bpe.digests(docs, BPE).count() == 1
+    assert token_counts.count_tokens(docs, PIECES).first()["own_text"] == "y"
+
+
+def test_unknown_vocabularies_are_refused():
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": None}, {"model": spec["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError):
+            bpe.check(spec | change)
