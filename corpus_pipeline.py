@@ -21,32 +21,39 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SCORE = 0.25
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with all columns but doc_id and text under names that no operator's results have."""
+    return docs.select(*[F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"`{c}`").alias(f"of_document_{c}") for c in docs.columns])
+
+
 def _like_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """df with the columns of docs, and n_chars as the text is now."""
-    chars = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
-    return df.withColumns(chars).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The columns of docs from what an operator made of _aside(docs), and n_chars as the text is now."""
+    own = {c: F.col(c if c in ("doc_id", "text") else f"`of_document_{c}`") for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("text").cast("long")
+    return df.select(*[column.alias(c) for c, column in own.items()])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; null and letterless texts go."""
     model = language.train(docs.where(language.remainder("doc_id") != 2))
-    judged = language.identify(docs, model)
+    judged = language.identify(_aside(docs), model)
     return _like_documents(judged.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of lines that occur earlier."""
-    return _like_documents(line_dedup.remove_repeated(docs), docs)
+    return _like_documents(line_dedup.remove_repeated(_aside(docs)), docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return _like_documents(near_dedup.near_duplicates(docs).where("kept"), docs)
+    return _like_documents(near_dedup.near_duplicates(_aside(docs)).where("kept"), docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
-    return _like_documents(decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark")).where(~F.col("contaminated")), docs)
+    return _like_documents(decontaminate.find_contamination(_aside(docs), load(spark, sf_dir, "benchmark")).where(~F.col("contaminated")), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
