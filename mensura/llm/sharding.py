@@ -82,7 +82,7 @@ def _cuts(rows: DataFrame, searches: dict[int, Search]) -> dict[int, tuple[int,
         first = F.when(F.col("direct"), value).otherwise(F.expr("off div width"))
         near = near.select("node", first.alias("x"), F.when(F.col("direct"), F.col("tie")).otherwise(F.lit(0)).alias("y"), "size")
         by: dict[int, list] = defaultdict(list)
-        for r in near.groupBy("node", "x", "y").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).toLocalIterator():
+        for r in near.groupBy("node", "x", "y").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect():
             by[r["node"]].append((r["x"], r["y"], float(r["w"]), r["n"]))
         for n, s in left.items():
             if (cut := _narrowed(s, by[n], bins)) is not None:
