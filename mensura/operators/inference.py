@@ -145,7 +145,7 @@ def holm(df: DataFrame, p: str, key: Names, by: Names = None, alpha: float = 0.0
 
 
 def _step_up(df: DataFrame, p: str, key: Names, by: Names, alpha: float, factor: Column) -> DataFrame:
-    down = Window.partitionBy(*names(by)).orderBy("_k").rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy(*names(by)).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)  # a running minimum from the largest p
     return _adjusted(_placed(df, p, key, by), F.min(F.col(p) * F.col("_m") / F.col("_k") * factor).over(down), alpha).drop("_k", "_m")
 
 

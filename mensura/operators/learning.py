@@ -276,11 +276,11 @@ class KMeans:
 
 
 def covariance(df: DataFrame, features: str, width: int) -> DataFrame:
-    """(i, j, covariance) with n - 1, upper triangle; one pass of sums of products per pair of positions."""
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    x = [F.col(features)[i].cast("double") for i in range(width)]
-    wide = df.agg(*[F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("covariance")) for i, j in pairs])).alias("s")).select("s.*")
+    """(i, j, covariance) with n - 1, upper triangle; one pass, in which each row gives its pairs to sums that tasks hold."""
+    pairs = F.expr(f"explode(flatten(transform(sequence(0, {width - 1}), i -> transform(sequence(i, {width - 1}), j -> struct(i, j)))))")
+    each = df.select(F.col(features).alias("_x"), pairs.alias("_p")).select("_p.i", "_p.j", "_x")
+    a, b = (F.try_element_at("_x", F.col(c) + 1).cast("double") for c in ("i", "j"))
+    return each.groupBy("i", "j").agg(F.covar_samp(a, b).alias("covariance"))
 
 
 @dataclass

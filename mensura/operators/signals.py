@@ -307,7 +307,8 @@ def interp1d(knots: DataFrame, points: DataFrame, kind: str = "linear", by: Name
     knot = F.when(F.col("_p") == 0, F.struct("x", "y"))
     both = k.unionByName(p).withColumn("_k", knot)
     back = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    from_end = Window.partitionBy(*keys).orderBy(F.desc("x"), F.desc("_p"))
+    ahead = F.last("_k", ignorenulls=True).over(from_end.rowsBetween(Window.unboundedPreceding, 0))
     s = both.withColumn("_a", back).withColumn("_b", ahead).where("_p = 1")
     x, a, b = F.col("x"), F.col("_a"), F.col("_b")
     if kind == "linear":

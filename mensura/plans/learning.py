@@ -96,10 +96,10 @@ def kmeans_assign(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(f"""
-WITH {VEC}, p AS (SELECT i, j FROM range(4) a(i), range(4) b(j) WHERE i <= j)
+WITH {VEC}, p AS (SELECT i, j FROM range(64) a(i), range(64) b(j) WHERE i <= j)
 SELECT i::INT AS i, j::INT AS j, round(covar_samp(x[i + 1], x[j + 1]), 6) AS covariance FROM v, p GROUP BY 1, 2""")
 def cov_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(learning.covariance(_vectors(spark, sf), "x", 4))
+    return rounded(learning.covariance(_vectors(spark, sf), "x", 64))
 
 
 @R.add("""SELECT doc_id, ntile(5) OVER (ORDER BY doc_id)::INT - 1 AS fold FROM labels""")

@@ -63,19 +63,13 @@ def needleman_wunsch(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add()
 def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
-    b = load(spark, sf, "benchmark")
-    return text.encode_pairs(b, "text", text.train_pairs(b, "text", 60)).select("item_id", "ids")
+    d = load(spark, sf, "documents")
+    return text.encode_pairs(d, "text", text.train_pairs(d, "text", 120)).select("doc_id", "ids")
 
 
 # ---- signals -----------------------------------------------------------------------------
 
 
-def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    """Events in each of 128 hours, none included."""
-    n = load(spark, sf, "events").groupBy(F.expr("cast(unix_timestamp(ts) div 3600 - 473352 as int)").alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(128).select(F.col("id").cast("int").alias("i")).join(n, "i", "left").select("i", F.coalesce("n", F.lit(0)).cast("double").alias("x"))
-
-
 def all_hours(spark: SparkSession, sf: str) -> DataFrame:
     """Events in each hour from the first to the last, none included; i counts from the first."""
     n = load(spark, sf, "events").where("ts is not null").groupBy(F.expr("unix_timestamp(ts) div 3600").alias("h")).agg(F.count(F.lit(1)).alias("n"))
@@ -84,32 +78,40 @@ def all_hours(spark: SparkSession, sf: str) -> DataFrame:
     return hours.join(n, "h", "left").select((F.col("h") - F.col("lo")).cast("int").alias("i"), F.coalesce("n", F.lit(0)).cast("double").alias("x"))
 
 
-H = "h AS (SELECT r.i::INT AS i, coalesce(n, 0)::DOUBLE AS x FROM range(0, 128) r(i) LEFT JOIN (SELECT epoch(ts)::BIGINT // 3600 - 473352 AS i, count(*) AS n FROM events GROUP BY 1) e ON e.i = r.i)"
+def even_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """all_hours, and an hour without events after the last one where their number is odd."""
+    h = all_hours(spark, sf)
+    n = h.agg(F.count(F.lit(1)).cast("int").alias("i"))
+    return h.union(n.where("i % 2 = 1").select("i", F.lit(0.0).alias("x")))
+
+
+H = """e AS (SELECT floor(epoch(ts))::BIGINT // 3600 AS h, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1), b AS (SELECT min(h) AS lo, max(h) AS hi FROM e),
+r AS (SELECT lo, unnest(range(lo, hi + 1)) AS h FROM b), h AS (SELECT (r.h - lo)::INT AS i, coalesce(n, 0)::DOUBLE AS x FROM r LEFT JOIN e USING (h)), n AS (SELECT count(*) AS n FROM h)"""
 
 
 @R.add(f"""
-WITH {H}, n AS (SELECT count(*) AS n FROM h), f AS (SELECT k, sum(x * cos(2 * pi() * ((k * i) % n) / n)) AS re, sum(-x * sin(2 * pi() * ((k * i) % n) / n)) AS im FROM h, n, range(0, 128) r(k) WHERE k < n GROUP BY 1)
+WITH {H}, k AS (SELECT unnest(range(0, n)) AS k FROM n), f AS (SELECT k, sum(x * cos(2 * pi() * ((k * i) % n) / n)) AS re, sum(-x * sin(2 * pi() * ((k * i) % n) / n)) AS im FROM h, n, k GROUP BY 1)
 SELECT k::INT AS k, round((re * re + im * im) / n, 4) AS power FROM f, n""")
 def dft_power(spark: SparkSession, sf: str) -> DataFrame:
-    h = hourly(spark, sf)
+    h = all_hours(spark, sf)
     z = signals.dft(h).crossJoin(F.broadcast(h.agg(F.count(F.lit(1)).alias("n"))))
     return rounded(z.select(F.col("k").cast("int").alias("k"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("power")), 4)
 
 
 @R.add(f"WITH {H}, k AS (SELECT * FROM h WHERE i < 5) SELECT (h.i + k.i)::INT AS i, sum(h.x * k.x) AS x FROM h, k GROUP BY 1")
 def convolve(spark: SparkSession, sf: str) -> DataFrame:
-    h = hourly(spark, sf)
+    h = all_hours(spark, sf)
     return signals.convolve(h, h.where("i < 5"))
 
 
-@R.add(f"WITH {H} SELECT (i // 2)::INT AS i, round((sum(x) FILTER (i % 2 = 0) + sum(x) FILTER (i % 2 = 1)) / sqrt(2), 6) AS approx, round((sum(x) FILTER (i % 2 = 0) - sum(x) FILTER (i % 2 = 1)) / sqrt(2), 6) AS detail FROM h GROUP BY 1")
+@R.add(f"WITH {H} SELECT (i // 2)::INT AS i, round((sum(x) FILTER (i % 2 = 0) + coalesce(sum(x) FILTER (i % 2 = 1), 0)) / sqrt(2), 6) AS approx, round((sum(x) FILTER (i % 2 = 0) - coalesce(sum(x) FILTER (i % 2 = 1), 0)) / sqrt(2), 6) AS detail FROM h GROUP BY 1")
 def haar_dwt(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(signals.dwt(hourly(spark, sf)))
+    return rounded(signals.dwt(even_hours(spark, sf)))
 
 
-@R.add(f"WITH {H}, g AS (SELECT f::INT AS frame, j::INT AS j FROM range(0, 8) a(f), range(0, 16) b(j)) SELECT frame, j, coalesce(x, 0.0) AS x FROM g LEFT JOIN h ON i = frame * 16 + j")
+@R.add(f"WITH {H}, f AS (SELECT unnest(range(0, greatest(0, ceil((n - 16) / 16.0))::BIGINT + 1)) AS f FROM n), g AS (SELECT f::INT AS frame, j::INT AS j FROM f, range(0, 16) b(j)) SELECT frame, j, coalesce(x, 0.0) AS x FROM g LEFT JOIN h ON i = frame * 16 + j")
 def stft_frames(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.frame_signal(hourly(spark, sf), 16, 16)
+    return signals.frame_signal(all_hours(spark, sf), 16, 16)
 
 
 @R.add()
@@ -133,22 +135,19 @@ def butter_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(f"""
-WITH {H}, k AS (SELECT i::DOUBLE AS x, x AS y FROM h WHERE i % 8 = 0), s AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM k), p AS (SELECT i::DOUBLE AS x FROM h WHERE i <= 120)
+WITH {H}, k AS (SELECT i::DOUBLE AS x, x AS y FROM h WHERE i % 8 = 0), s AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM k), p AS (SELECT i::DOUBLE AS x FROM h, n WHERE i <= (n - 1) // 8 * 8)
 SELECT p.x, round(CASE WHEN p.x = s.x THEN s.y ELSE s.y + (y1 - s.y) * (p.x - s.x) / (x1 - s.x) END, 6) AS y FROM p JOIN s ON p.x >= s.x AND (p.x < x1 OR (x1 IS NULL AND p.x = s.x))""")
 def interp_linear(spark: SparkSession, sf: str) -> DataFrame:
-    h = hourly(spark, sf)
+    """Every eighth hour is a knot; all hours up to the last knot are points, as none may be outside."""
+    h = all_hours(spark, sf)
     knots = h.where("i % 8 = 0").select(F.col("i").cast("double").alias("x"), F.col("x").alias("y"))
-    return rounded(signals.interp1d(knots, h.where("i <= 120").select(F.col("i").cast("double").alias("x"))))
+    inside = h.crossJoin(F.broadcast(h.agg(F.expr("max(i) div 8 * 8").alias("last")))).where("i <= last")
+    return rounded(signals.interp1d(knots, inside.select(F.col("i").cast("double").alias("x"))))
 
 
 # ---- matrices ----------------------------------------------------------------------------
 
 
-def _matrix(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
-    e = load(spark, sf, "embeddings").where(f"vec_id < {n}")
-    return e.select(F.col("vec_id").cast("int").alias("row"), F.posexplode(F.slice("embedding", 1, n)).alias("col", "val")).withColumn("val", F.col("val").cast("double"))
-
-
 def _whole(spark: SparkSession, sf: str) -> DataFrame:
     """All vectors in all dimensions."""
     e = load(spark, sf, "embeddings")
@@ -161,36 +160,42 @@ def _gram(spark: SparkSession, sf: str) -> DataFrame:
     return linalg.mat_mul(linalg.transpose(x), x)
 
 
-M = "m AS (SELECT vec_id::INT AS r, c::INT AS c, embedding[c + 1]::DOUBLE AS v FROM embeddings, range(0, 8) x(c) WHERE vec_id < 8)"
+def _moments(spark: SparkSession, sf: str) -> DataFrame:
+    """_gram by the number of vectors, its coordinates as integers."""
+    n = load(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    return _gram(spark, sf).crossJoin(F.broadcast(n)).select("row", "col", (F.col("val") / F.col("n")).alias("val"))
+
+
+X = "x AS (SELECT vec_id AS r, c::INT AS c, embedding[c + 1]::DOUBLE AS v FROM embeddings, range(0, 64) x(c))"
+G = X + ", n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT a.c AS r, b.c AS c, sum(a.v * b.v) AS v FROM x a JOIN x b ON a.r = b.r GROUP BY 1, 2), m AS (SELECT r, c, v / n AS v FROM g, n)"
 
 
-@R.add(f"WITH {M} SELECT a.r AS \"row\", b.c AS col, round(sum(a.v * b.v), 6) AS val FROM m a JOIN m b ON a.c = b.r GROUP BY 1, 2")
+@R.add(f"WITH {G} SELECT r AS \"row\", c AS col, round(v, 6) AS val FROM g")
 def matmul(spark: SparkSession, sf: str) -> DataFrame:
-    m = _matrix(spark, sf)
-    return rounded(linalg.mat_mul(m, m))
+    return rounded(_gram(spark, sf))
 
 
-@R.add(f"WITH {M} SELECT round(sqrt(sum(v * v)), 6) AS norm FROM m")
+@R.add(f"WITH {X} SELECT round(sqrt(sum(v * v)), 6) AS norm FROM x")
 def frobenius(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(linalg.frobenius_norm(_matrix(spark, sf)))
+    return rounded(linalg.frobenius_norm(_whole(spark, sf)))
 
 
-@R.add(f"WITH {M} SELECT round(sum(v), 6) AS trace FROM m WHERE r = c")
+@R.add(f"WITH {G} SELECT round(sum(v), 6) AS trace FROM g WHERE r = c")
 def trace(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(linalg.matrix_trace(_matrix(spark, sf)))
+    return rounded(linalg.matrix_trace(_gram(spark, sf)))
 
 
-@R.add(f"WITH {M}, s AS (SELECT r, c, exp(v - max(v) OVER (PARTITION BY r)) AS e FROM m) SELECT r AS \"row\", c AS col, round(e / sum(e) OVER (PARTITION BY r), 8) AS val FROM s")
+@R.add(f"WITH {X}, s AS (SELECT r, c, exp(v - max(v) OVER (PARTITION BY r)) AS e FROM x) SELECT r AS \"row\", c AS col, round(e / sum(e) OVER (PARTITION BY r), 8) AS val FROM s")
 def softmax(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(linalg.softmax_rows(_matrix(spark, sf)), 8)
+    return rounded(linalg.softmax_rows(_whole(spark, sf)), 8)
 
 
 @R.add(f"""
-WITH {M}, s AS (SELECT a.r AS r, b.r AS k, sum(a.v * b.v) / sqrt(8.0::DOUBLE) AS s FROM m a JOIN m b ON a.c = b.c GROUP BY 1, 2), e AS (SELECT r, k, exp(s - max(s) OVER (PARTITION BY r)) AS e FROM s WHERE k <= r), w AS (SELECT r, k, e / sum(e) OVER (PARTITION BY r) AS w FROM e)
+WITH {G}, s AS (SELECT a.r AS r, b.r AS k, sum(a.v * b.v) / 8.0::DOUBLE AS s FROM m a JOIN m b ON a.c = b.c GROUP BY 1, 2), e AS (SELECT r, k, exp(s - max(s) OVER (PARTITION BY r)) AS e FROM s WHERE k <= r), w AS (SELECT r, k, e / sum(e) OVER (PARTITION BY r) AS w FROM e)
 SELECT w.r AS "row", m.c AS col, round(sum(w * v), 6) AS val FROM w JOIN m ON m.r = w.k GROUP BY 1, 2""")
 def attention(spark: SparkSession, sf: str) -> DataFrame:
-    m = _matrix(spark, sf)
-    return rounded(linalg.scaled_dot_product_attention(m, m, m, 8, causal=True))
+    m = _moments(spark, sf)
+    return rounded(linalg.scaled_dot_product_attention(m, m, m, 64, causal=True))
 
 
 @R.add()

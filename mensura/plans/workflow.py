@@ -464,24 +464,29 @@ class ResearchWorkflow:
             raise ValueError(f"unknown or repeated step: {step_id}")
         self.actions[step_id] = action
 
-    def execute(self, approve: Callable[[PlanStep], bool] = lambda s: True) -> tuple[dict[str, Any], list[ExecutionEvent]]:
+    def execute(self, approve: Callable[[PlanStep], bool] | None = None, approve_plan: Callable[[AnalysisPlan], bool] | None = None) -> tuple[dict[str, Any], list[ExecutionEvent]]:
+        """Values and events.  What needs approval is denied where nobody is asked: the whole plan if its request says so, and each step."""
         if missing := [s.id for s in self.plan.steps if s.id not in self.actions]:
             raise ValueError(f"steps without actions: {missing}")
-        values, events = {}, []
+        if self.plan.request.require_plan_approval and not (approve_plan and approve_plan(self.plan)):
+            return {}, [ExecutionEvent("plan", "denied")]
+        values, events, cached = {}, [], []
         for s in self.plan.steps:
-            if s.requires_approval and not approve(s):
+            if s.requires_approval and not (approve and approve(s)):
                 events.append(ExecutionEvent(s.id, "denied"))
                 break
             try:
                 out = self.actions[s.id](values)
                 if isinstance(out, DataFrame):
-                    out = out.persist()
+                    cached.append(out.persist())
                     out.count()
                 values[s.id] = out
                 events.append(ExecutionEvent(s.id, "completed"))
             except Exception as e:  # a step's failure is a result of the run
                 events.append(ExecutionEvent(s.id, "failed", f"{type(e).__name__}: {e}"))
                 break
+        for out in cached:  # computed again where it is read later
+            out.unpersist()
         return values, events
 
 
@@ -496,7 +501,7 @@ def register_tool_step(workflow: ResearchWorkflow, step_id: str, capability: str
 @dataclass(frozen=True)
 class GatePolicy:
     require_recommendation: bool = True
-    require_alternatives: bool = False
+    require_alternatives: bool = True
     require_validation: bool = True
     required_checks: tuple[str, ...] = ()
     warnings_require_review: bool = True
@@ -510,20 +515,19 @@ class GateDecision:
 
 
 def evaluate_research_gate(plan: AnalysisPlan, checks: DataFrame | None, policy: GatePolicy = GatePolicy()) -> GateDecision:
-    """blocked for failures, missing checks or a missing recommendation; review for warnings; else ready."""
+    """blocked for failures, missing checks or a missing recommendation; review for warnings or missing alternatives; else ready."""
     rows = [] if checks is None else checks.select("name", "status").distinct().collect()
     missing = tuple(c for c in policy.required_checks if c not in {r["name"] for r in rows})
     reasons = [f"failed: {r['name']}" for r in rows if r["status"] == FAIL] + [f"missing: {c}" for c in missing]
     if policy.require_recommendation and plan.recommendation is None:
         reasons.append("no recommendation")
-    if policy.require_alternatives and not (plan.recommendation and plan.recommendation.alternatives):
-        reasons.append("no alternatives")
     if policy.require_validation and not rows:
         reasons.append("no validation")
     if reasons:
         return GateDecision("blocked", tuple(reasons), missing)
     warned = tuple(f"warning: {r['name']}" for r in rows if r["status"] == WARNING)
-    return GateDecision("review" if warned and policy.warnings_require_review else "ready", warned)
+    lone = ("no alternatives",) * (policy.require_alternatives and not (plan.recommendation and plan.recommendation.alternatives))
+    return GateDecision("review" if lone or warned and policy.warnings_require_review else "ready", (*warned, *lone))
 
 
 @dataclass
@@ -536,7 +540,7 @@ class ResearchOrchestrator:
     validators: dict[str, Callable[[dict[str, Any]], DataFrame]] = field(default_factory=dict)
     policy: GatePolicy = GatePolicy()
 
-    def run(self, spark: SparkSession, request: AnalysisRequest, approve: Callable[[PlanStep], bool] = lambda s: True) -> dict[str, Any]:
+    def run(self, spark: SparkSession, request: AnalysisRequest, approve: Callable[[PlanStep], bool] | None = None, approve_plan: Callable[[AnalysisPlan], bool] | None = None) -> dict[str, Any]:
         manifest = RunManifest(request.question)
         ranked = rank_methods(self.candidates, self.classify(request))
         best = recommended(ranked)
@@ -548,7 +552,7 @@ class ResearchOrchestrator:
         flow = ResearchWorkflow(plan)
         for k, a in actions.items():
             flow.register(k, a)
-        values, events = flow.execute(approve)
+        values, events = flow.execute(approve, approve_plan)
         checks = None
         for name, v in self.validators.items():
             try:
@@ -559,7 +563,7 @@ class ResearchOrchestrator:
         gate = evaluate_research_gate(plan, checks, self.policy)
         if any(e.status != "completed" for e in events):
             gate = GateDecision("blocked", (*gate.reasons, "a step did not complete"), gate.missing_checks)
-        manifest.decisions.append(DecisionRecord("run", best.candidate.name, True))
+        manifest.decisions.append(DecisionRecord("run", best.candidate.name, all(e.status != "denied" for e in events)))
         return {"gate": gate, "ranked": ranked, "plan": plan, "values": values, "trace": events, "checks": checks, "manifest": manifest}
 
 

@@ -300,8 +300,15 @@ def test_workflow(spark, tmp_path, xs):
     assert [(x.candidate.name, x.status) for x in ranked] == [("b", "eligible"), ("a", "blocked")] and need.check({}) == "unknown"
     plan = lambda request, best: (workflow.AnalysisPlan(request, (workflow.PlanStep("s", "describe"),)), {"s": lambda values: frame.describe(xs)})
     o = workflow.ResearchOrchestrator(lambda q: workflow.MethodSelectionContext({"n": 8}), [workflow.MethodCandidate("b")], plan, {"finite": lambda values: validation.check_finite(xs, "x", "i")})
-    assert o.run(spark, workflow.AnalysisRequest("q"))["gate"].status == "ready"
-    assert o.run(spark, workflow.AnalysisRequest("q"), lambda s: False)["gate"].status == "blocked"
+    yes, no = lambda x: True, lambda x: False
+    run = lambda *asked, **of: o.run(spark, workflow.AnalysisRequest("q", **of), *asked)
+    assert run(yes, yes)["gate"] == workflow.GateDecision("review", ("no alternatives",)) and run(yes, yes)["manifest"].decisions[0].approved_by_user
+    assert [run(*asked)["trace"][0].step_id for asked in ((), (yes,), (yes, no), (None, yes), (no, yes))] == ["plan", "plan", "plan", "s", "s"]
+    for asked in ((), (yes,), (yes, no), (None, yes), (no, yes)):
+        got = run(*asked)
+        assert got["gate"].status == "blocked" and not got["values"] and not got["manifest"].decisions[0].approved_by_user
+    o.policy = workflow.GatePolicy(require_alternatives=False)
+    assert run(yes, yes)["gate"].status == "ready" and run(yes, require_plan_approval=False)["gate"].status == "ready"
     m = workflow.RunManifest("q", seed=1)
     workflow.save_checkpoint("c.json", m, {"k": 1}, tmp_path)
     assert workflow.load_checkpoint("c.json", tmp_path) == (m, {"k": 1})

@@ -7,7 +7,6 @@ from mensura.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"graph_components", "graph_bfs", "reachable", "bellman_ford", "spanning_forest", "forest_fit", "gboost", "tree_fit", "kmeans_fit", "bpe_encode"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def same(a, b):
     return abs(a - b) <= 1e-6 * max(1, abs(a), abs(b)) if isinstance(a, int | float) else str(a) == str(b)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)

@@ -50,3 +50,47 @@ def test_whole_sequences_are_aligned(spark, tmp_path):
         assert got[i]["a"].replace("-", "") == s and got[i]["b"].replace("-", "") == other
         assert got[i]["score"] == text.align(s, other, 1, -1, -1)[0]
     assert len(dna[1]) > 40
+
+
+def test_byte_pairs_are_trained_as_by_brute_force(spark):
+    rows = ["low lower lowest low", "new newer wide wider, low!", "the lower the newer"]
+    got = text.train_pairs(spark.createDataFrame([(r,) for r in rows], "text string"), "text", 30)
+    import re
+    from collections import Counter
+
+    words = Counter(w for r in rows for w in re.findall(r"\w+|[^\w\s]", r))
+    parts = {w: [*w, "</w>"] for w in words}
+    merges, vocab = [], {*text.SPECIALS, *(c for w in words for c in w)}
+    while len(vocab) < 30:
+        pairs = Counter()
+        for w, p in parts.items():
+            for a, b in zip(p, p[1:]):
+                pairs[a, b] += words[w]
+        best = min(pairs, key=lambda x: (-pairs[x], x))
+        if pairs[best] < 2:
+            break
+        merges.append(best)
+        vocab.add("".join(best))
+        for p in parts.values():
+            i = 0
+            while i < len(p) - 1:
+                if (p[i], p[i + 1]) == best:
+                    p[i : i + 2] = ["".join(best)]
+                i += 1
+    assert got.merges == merges and len(merges) > 5 and set(got.vocab) == vocab
+
+
+def test_step_up_and_interpolation_are_brute_force(spark):
+    from mensura.operators import inference
+
+    rng = np.random.default_rng(3)
+    p = np.round(rng.uniform(size=300) ** 3, 3)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "i int, p double")
+    got = {r["i"]: r["adjusted"] for r in inference.benjamini_hochberg(df, "p", "i").collect()}
+    order = np.lexsort((np.arange(300), p))
+    want = np.minimum(1, np.minimum.accumulate((p[order] * 300 / np.arange(1, 301))[::-1])[::-1])
+    assert np.allclose([got[i] for i in order], want)
+    knots = spark.createDataFrame([(float(x), float(x * x)) for x in range(0, 50, 5)], "x double, y double")
+    points = np.round(rng.uniform(0, 45, 100), 1)
+    back = signals.interp1d(knots, spark.createDataFrame([(float(x), i) for i, x in enumerate(points)], "x double, i int")).collect()
+    assert np.allclose([r["y"] for r in back], np.interp([r["x"] for r in back], np.arange(0, 50, 5), np.arange(0, 50, 5) ** 2))
