@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,10 +214,17 @@ class QuantumRegister:
         return k
 
     def measure_shots(self, spark: SparkSession, shots: int = 1000, seed: int = 0) -> DataFrame:
-        """(state, n): draws meet the cumulative probabilities in a range join with a table of 2^n rows."""
-        ends = np.cumsum(self.probabilities())
-        table = spark.createDataFrame([(format(k, f"0{self.n_qubits}b"), float(e - p), float(e if k + 1 < len(ends) else 2.0)) for k, (e, p) in enumerate(zip(ends, self.probabilities())) if p > 0], "state string, lo double, hi double")
-        hit = draws(spark, shots, seed).join(F.broadcast(table), (F.col("u0") >= F.col("lo")) & (F.col("u0") < F.col("hi")))
+        """(state, n): a draw's cell of a grid names the few states it may fall on, in a table of at most 2^(n + 1) rows."""
+        p = self.probabilities()
+        has = np.flatnonzero(p > 0)
+        hi = np.cumsum(p)[has]
+        lo, hi[-1] = np.append(0.0, hi[:-1]), 1.0
+        grid = len(p)
+        first, last = np.floor(lo * grid).astype(int).clip(0, grid - 1), np.floor(hi * grid).astype(int).clip(0, grid - 1)
+        table = pd.DataFrame({"state": [format(k, f"0{self.n_qubits}b") for k in has], "lo": lo, "hi": np.append(hi[:-1], 2.0), "cell": [range(a, z + 1) for a, z in zip(first, last)]}).explode("cell").astype({"cell": "int32"})
+        cells = spark.createDataFrame(pa.Table.from_pandas(table, preserve_index=False))
+        cell = F.least(F.floor(F.col("u0") * grid).cast("int"), F.lit(grid - 1))
+        hit = draws(spark, shots, seed).withColumn("cell", cell).join(F.broadcast(cells), "cell").where("u0 >= lo and u0 < hi")
         return hit.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 

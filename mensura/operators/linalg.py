@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +52,15 @@ def dense(m: DataFrame, most: int = 4_000_000) -> np.ndarray:
     if shape[2] != n * k:
         raise ValueError("the matrix is ragged")
     out = np.zeros((n, k))
-    for r in m.collect():
-        out[r["row"], r["col"]] = r["val"]
+    cells = m.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("val").cast("double")).toArrow()
+    row, col, val = (c.to_numpy() for c in cells.columns)
+    out[row, col] = val
     return out
 
 
 def frame(spark: SparkSession, a: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(a) for j, v in enumerate(row)], "row int, col int, val double")
+    row, col = (x.ravel().astype(np.int32) for x in np.indices(a.shape))
+    return spark.createDataFrame(pa.table({"row": row, "col": col, "val": np.ascontiguousarray(a, float).ravel()}))
 
 
 def _square(m: DataFrame) -> np.ndarray:
