@@ -113,14 +113,16 @@ def train_pairs(docs: DataFrame, text: str, vocab_size: int = 1000, min_frequenc
     Spark and brings one pair to the driver.  Equal counts: the smaller pair.
     """
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\w+|[^\w\s]"), 0)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    parts = words.select(F.concat(F.split("w", ""), F.array(F.lit("</w>"))).alias("p"), "n").persist()
+    # parts stand between spaces, which no word holds: a step names the column once, so that plans grow evenly with steps
+    parts = words.select(F.concat(F.lit(" "), F.array_join(F.split("w", ""), " "), F.lit(" </w> ")).alias("p"), "n").persist()
     try:
-        letters = [r[0] for r in parts.select(F.explode(F.slice("p", 1, F.size("p") - 1)).alias("c")).distinct().orderBy("c").collect()]
+        letters = [r[0] for r in parts.select(F.explode(F.split(F.trim("p"), " ")).alias("c")).where("c <> '</w>'").distinct().orderBy("c").collect()]
         vocab = {t: i for i, t in enumerate([*SPECIALS, *letters])}
         merges: list[tuple[str, str]] = []
         now = parts
         while len(vocab) < vocab_size:
-            pairs = now.where("size(p) > 1").select("n", F.explode(F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b"))).alias("x"))
+            each = F.split(F.trim("p"), " ")
+            pairs = now.select("n", F.explode(F.arrays_zip(F.slice(each, 1, F.size(each) - 1).alias("a"), F.slice(each, 2, F.size(each) - 1).alias("b"))).alias("x"))
             best = pairs.groupBy("x.a", "x.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
             if best is None or best["n"] < min_frequency:
                 break
@@ -135,8 +137,9 @@ def train_pairs(docs: DataFrame, text: str, vocab_size: int = 1000, min_frequenc
 
 
 def _merged(words: DataFrame, a: str, b: str) -> DataFrame:
-    step = lambda s, x: F.when((F.size(s) > 0) & (F.element_at(s, -1) == a) & (x == b), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.lit(a + b)))).otherwise(F.concat(s, F.array(x)))
-    return words.select(F.aggregate(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1), step).alias("p"), "n")
+    """Every a that b follows, from the left, made one part with it."""
+    whole = (a + b).replace("\\", "\\\\").replace("$", "\\$")
+    return words.select(F.regexp_replace("p", rf"(?<= )\Q{a}\E \Q{b}\E(?= )", whole).alias("p"), "n")
 
 
 def encode_pairs(docs: DataFrame, text: str, tokenizer: PairTokenizer, out: str = "ids") -> DataFrame:
