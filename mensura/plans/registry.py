@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.plans import learning, science, statistics, text, timeseries
+from mensura.plans import forms, learning, science, statistics, text, timeseries
 from mensura.plans.common import Query
 
-_PARTS = (statistics, timeseries, learning, text, science)
+_PARTS = (statistics, timeseries, learning, text, science, forms)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
