@@ -114,14 +114,21 @@ def stft_frames(spark: SparkSession, sf: str) -> DataFrame:
     return signals.frame_signal(all_hours(spark, sf), 16, 16)
 
 
-@R.add()
+@R.add(f"""
+WITH {H}, f AS (SELECT unnest(range(0, greatest(0, ceil((n - 32) / 8.0))::BIGINT + 1)) AS f FROM n), g AS (SELECT f, j, coalesce(x, 0.0)::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * j / 32)) AS y FROM f CROSS JOIN range(0, 32) b(j) LEFT JOIN h ON i = f * 8 + j),
+z AS (SELECT f, k, sum(y * cos(2 * pi() * k * j / 32)) AS re, sum(-y * sin(2 * pi() * k * j / 32)) AS im FROM g, range(0, 17) c(k) GROUP BY 1, 2)
+SELECT f::INT AS frame, k::INT AS k, round(sqrt(re * re + im * im), 5) AS magnitude FROM z""")
 def stft_magnitude(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.stft(all_hours(spark, sf), 32)
+    z = signals.stft(all_hours(spark, sf), 32)
+    return rounded(z.select(F.col("frame").cast("int").alias("frame"), F.col("k").cast("int").alias("k"), "magnitude"), 5)
 
 
-@R.add()
+@R.add(f"""
+WITH {H}, k AS (SELECT unnest(range(0, n)) AS k FROM n), f AS (SELECT k, sum(x * cos(2 * pi() * ((k * i) % n) / n)) AS re, sum(-x * sin(2 * pi() * ((k * i) % n) / n)) AS im FROM h, n, k GROUP BY 1)
+SELECT k::INT AS k, round((re * re + im * im) / n, 4) AS power FROM f, n""")
 def fft_power(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.power_spectrum(all_hours(spark, sf))
+    z = signals.power_spectrum(all_hours(spark, sf))
+    return rounded(z.select(F.col("k").cast("int").alias("k"), "power"), 4)
 
 
 @R.add("SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))[len(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) // 2 + 1] AS moving_median FROM events")

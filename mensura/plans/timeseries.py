@@ -45,9 +45,13 @@ def acf_lags(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(timeseries.autocorrelation_function(daily(spark, sf), "x", "day", max_lag=8))
 
 
-@R.add()
+@R.add(DAILY.replace("WITH", "WITH RECURSIVE", 1) + """
+, v AS (SELECT sum(d * d) AS v FROM s), r AS (SELECT a.i - b.i AS lag, sum(a.d * b.d) / max(v) AS r FROM s a JOIN s b ON a.i - b.i BETWEEN 0 AND 8, v GROUP BY 1), l AS (SELECT list(r ORDER BY lag) AS r FROM r),
+p AS (SELECT 1 AS k, r, [r[2]] AS phi, r[2] AS a FROM l UNION ALL
+SELECT k + 1, r, list_append([phi[j] - a2 * phi[k + 1 - j] for j in range(1, k + 1)], a2), a2 FROM (SELECT k, r, phi, (r[k + 2] - list_sum([phi[j] * r[k + 2 - j] for j in range(1, k + 1)])) / (1 - list_sum([phi[j] * r[j + 1] for j in range(1, k + 1)])) AS a2 FROM p WHERE k < 8))
+SELECT 0 AS lag, 1.0::DOUBLE AS pacf UNION ALL SELECT k, round(a, 6) FROM p""")
 def pacf_lags(spark: SparkSession, sf: str) -> DataFrame:
-    return timeseries.partial_autocorrelation(daily(spark, sf), "x", "day", max_lag=8)
+    return rounded(timeseries.partial_autocorrelation(daily(spark, sf), "x", "day", max_lag=8))
 
 
 @R.add(DAILY + """
