@@ -31,6 +31,16 @@ _WORD_BYTES = bytes(
 )
 
 
+def as_words(text: str, most: int = 1 << 22) -> Iterator[bytes]:
+    """A text's words between spaces, in pieces of some `most` bytes that divide no word."""
+    flat = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
+    start = 0
+    while start < len(flat):
+        end = flat.find(b" ", start + most) if len(flat) - start > most else -1
+        yield flat[start : end if end >= 0 else len(flat)]
+        start = end if end >= 0 else len(flat)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text: runs of digits, letters a-z (A-Z lower-cased) and all that is not ASCII."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
