@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mensura.operators import ordering
 from mensura.operators.common import TINY, Names, names, ratio, required, whole
 
 
@@ -46,7 +47,9 @@ def correlation(df: DataFrame, x: str, y: str, by: Names = None) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, by: Names = None, out: str = "rank") -> DataFrame:
-    """Ranks from 1; equal values get the mean of their ranks."""
+    """Ranks from 1; equal values get the mean of their ranks.  Over a whole table no task sees all rows."""
+    if not names(by):
+        return ordering.midranks(df, value, out)
     first = F.rank().over(Window.partitionBy(*names(by)).orderBy(value))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*names(by), value))
     return df.withColumn(out, first + (ties - 1) / 2.0)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions.special import betai, chi2_sf, column_function, f_sf, normal_cdf, normal_ppf, t_sf
+from mensura.operators import ordering
 from mensura.operators.common import Names, names, ratio, required, whole
 from mensura.operators.descriptive import average_ranks
 
@@ -130,6 +131,14 @@ def _adjusted(df: DataFrame, p: Column, alpha: float) -> DataFrame:
     return df.withColumn("adjusted", F.least(F.lit(1.0), p)).withColumn("rejected", F.col("adjusted") <= alpha)
 
 
+def _along(df: DataFrame, p: str, key: Names, alpha: float, kind: str, value: Callable[[int], Column], backwards: bool) -> DataFrame:
+    """A whole table's adjustment: the running extreme of value(number of rows) over ranges of p; _k is a row's number by p and key."""
+    order = [p, *names(key)]
+    dealt = ordering.carried(ordering.ranges(df, order), "sum", F.lit(1).cast("long"), "_k", order)
+    found = ordering.carried(dealt, kind, value(df.count()), "_run", order, backwards=backwards)
+    return _adjusted(found, F.col("_run"), alpha).drop("_k", "_run", ordering.PART)
+
+
 def _placed(df: DataFrame, p: str, key: Names, by: Names) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*names(by)).orderBy(p, *names(key)))).withColumn("_m", F.count(F.lit(1)).over(whole(by)))
 
@@ -140,11 +149,16 @@ def bonferroni(df: DataFrame, p: str, key: Names = None, by: Names = None, alpha
 
 def holm(df: DataFrame, p: str, key: Names, by: Names = None, alpha: float = 0.05) -> DataFrame:
     """Running maxima of (m - rank + 1) p; equal p in the order of key."""
+    if not names(by):
+        return _along(df, p, key, alpha, "max", lambda m: F.col(p) * (m - F.col("_k") + 1), False)
     up = Window.partitionBy(*names(by)).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     return _adjusted(_placed(df, p, key, by), F.max(F.col(p) * (F.col("_m") - F.col("_k") + 1)).over(up), alpha).drop("_k", "_m")
 
 
-def _step_up(df: DataFrame, p: str, key: Names, by: Names, alpha: float, factor: Column) -> DataFrame:
+def _step_up(df: DataFrame, p: str, key: Names, by: Names, alpha: float, factor: Column, of: Callable[[int], float] = lambda m: 1.0) -> DataFrame:
+    """factor: a column over _m, the tests of a group; of: the same from the number of all tests."""
+    if not names(by):
+        return _along(df, p, key, alpha, "min", lambda m: F.col(p) * m / F.col("_k") * of(m), True)
     down = Window.partitionBy(*names(by)).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)  # a running minimum from the largest p
     return _adjusted(_placed(df, p, key, by), F.min(F.col(p) * F.col("_m") / F.col("_k") * factor).over(down), alpha).drop("_k", "_m")
 
@@ -155,7 +169,14 @@ def benjamini_hochberg(df: DataFrame, p: str, key: Names, by: Names = None, alph
 
 def benjamini_yekutieli(df: DataFrame, p: str, key: Names, by: Names = None, alpha: float = 0.05) -> DataFrame:
     harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / i)
-    return _step_up(df, p, key, by, alpha, harmonic)
+    return _step_up(df, p, key, by, alpha, harmonic, harmonic_number)
+
+
+def harmonic_number(n: int) -> float:
+    """1 + 1/2 + ... + 1/n; beyond ten million terms by its expansion, whose error is under 1e-30 there."""
+    if n <= 10_000_000:
+        return math.fsum(1 / i for i in range(1, n + 1))
+    return math.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n)
 
 
 METHODS = {"bonferroni": bonferroni, "holm": holm, "benjamini-hochberg": benjamini_hochberg, "benjamini-yekutieli": benjamini_yekutieli}

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mensura.operators import ordering
 from mensura.operators.common import Names, names, ratio
 from mensura.operators.descriptive import gram, solve_gram
 
@@ -60,7 +61,7 @@ def train_test_split(df: DataFrame, key: Names, test_size: float = 0.25, seed: i
 def k_fold_ids(df: DataFrame, key: Names, k: int, shuffle: bool = False, seed: int = 0, out: str = "fold") -> DataFrame:
     """df with a fold from 0: contiguous in the order of key (or of hashes), the first n % k one larger."""
     order = [F.xxhash64(*names(key), F.lit(seed))] if shuffle else []
-    return df.withColumn(out, F.ntile(k).over(Window.orderBy(*order, *names(key))) - 1)
+    return ordering.tiles(df, k, [*order, *names(key)], out)
 
 
 def cross_val_score(df: DataFrame, key: Names, y: str, make_model: Callable[[], object], k: int = 5, shuffle: bool = False, seed: int = 0, scorer: Callable[[DataFrame, str, str], DataFrame] | None = None) -> list[float]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mensura.operators import ordering
 from mensura.operators.common import Names, names, ratio
 
 
@@ -55,11 +56,11 @@ def r2_score(df: DataFrame, y: str, predicted: str, by: Names = None) -> DataFra
 def roc_auc(df: DataFrame, y: str, score: str, positive) -> DataFrame:
     """Chance that a positive row scores above a negative one, ties as half.
 
-    Rows are counted by score first, so the ordered pass sees each distinct score once.
+    Rows are counted by score first, so the ordered pass sees each distinct score once, in ranges of scores.
     """
     c = df.groupBy(score).agg(F.count_if(F.col(y) == positive).alias("p"), F.count_if(F.col(y) != positive).alias("n"))
-    under = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = c.withColumn("u", F.col("p") * (under + F.col("n") / 2.0)).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    under = ordering.running(c, "sum", "n", [score], "upto")
+    s = under.withColumn("u", F.col("p") * (F.col("upto") - F.col("n") / 2.0)).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.try_divide("u", F.col("p") * F.col("n"))).otherwise(F.raise_error(F.lit("needs both classes"))).alias("auc"))
 
 

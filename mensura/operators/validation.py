@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mensura.operators import ordering
 from mensura.operators.common import Names, names, ordered
 
 PASS, WARNING, FAIL = "pass", "warning", "fail"
@@ -134,11 +135,13 @@ def check_distribution_drift(reference: DataFrame, current: DataFrame, value: st
 
 def residual_diagnostics(df: DataFrame, residual: str, order_by: Names) -> DataFrame:
     """One row: bias in standard errors, first autocorrelation, ratio of the halves' variances."""
-    w = Window.orderBy(*names(order_by))
-    s = df.select(F.col(residual).cast("double").alias("r"), (F.row_number().over(w) - 1).alias("i"), *names(order_by))
-    s = s.withColumn("m", F.avg("r").over(Window.partitionBy())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    order = names(order_by)
+    ranged = ordering.ranges(df.select(F.col(residual).cast("double").alias("r"), *order), order)
+    s = ordering.carried(ranged, "sum", F.lit(1).cast("long"), "i", order)
+    s = ordering.carried(s, "lag", "r", "prior", order)
+    s = s.crossJoin(F.broadcast(ranged.agg(F.avg("r").alias("m"), F.count(F.lit(1)).alias("n"))))  # one row
     d = F.col("r") - F.col("m")
-    s = s.withColumn("p", d * F.lag(d).over(Window.orderBy("i"))).withColumn("first", F.col("i") < F.floor(F.col("n") / 2))
+    s = s.withColumn("p", d * (F.col("prior") - F.col("m"))).withColumn("first", F.col("i") <= F.floor(F.col("n") / 2))
     a = s.agg(F.first("m").alias("m"), F.first("n").alias("n"), F.var_samp("r").alias("v"), F.sum("p").alias("p"), F.sum(d * d).alias("q"), F.var_pop(F.when(F.col("first"), F.col("r"))).alias("v1"), F.var_pop(F.when(~F.col("first"), F.col("r"))).alias("v2"))
     tiny = F.lit(1e-300)
     return a.select((F.abs("m") / F.greatest(F.sqrt(F.col("v") / F.col("n")), tiny)).alias("bias_z"), F.abs(F.coalesce(F.try_divide("p", "q"), F.lit(0.0))).alias("lag1"), (F.greatest("v1", "v2", tiny) / F.greatest(F.least("v1", "v2"), tiny)).alias("variance_ratio"))
@@ -180,14 +183,17 @@ def assess_data_adequacy(profile: DataFrame, min_observations: int, max_missing_
 def ks_distances(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     """(feature, ks_distance): the largest gap of two empirical distribution functions.
 
-    Rows are first counted by value, so the ordered pass sees each distinct value once, a feature at a time.
+    Rows are first counted by value, so the ordered pass sees each distinct value once, in ranges of values.
     """
     side = lambda df, k: df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot([], features, "feature", "x").where("x is not null").select("feature", "x", F.lit(k).alias("k"))
     counts = side(reference, 0).unionByName(side(current, 1)).groupBy("feature", "x").agg(F.count_if(F.col("k") == 0).alias("a"), F.count_if(F.col("k") == 1).alias("b"))
-    w = Window.partitionBy("feature")
-    up = w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(w) - F.sum("b").over(up) / F.sum("b").over(w))
-    return counts.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("ks_distance"))
+    order = ["feature", "x"]
+    dealt = ordering.ranges(counts, order)
+    for side_, out in (("a", "up_a"), ("b", "up_b")):
+        dealt = ordering.carried(dealt, "sum", side_, out, ["x"], "feature")
+    whole = counts.groupBy("feature").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))  # a row a feature
+    gap = F.abs(F.col("up_a") / F.col("all_a") - F.col("up_b") / F.col("all_b"))
+    return dealt.join(whole, "feature").withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("ks_distance"))
 
 
 def empirical_ks_distance(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
