@@ -122,3 +122,18 @@ def plot_line(values: list[float], title: str = "Line Plot", height: int = 10, w
     for x, y in enumerate(ys):
         rows[height - 1 - round((y - lo) / span * (height - 1))][x] = "*"
     return "\n".join([title, *["".join(r).rstrip() for r in rows]])
+
+
+def rollup(df: DataFrame, columns: list[str], *measures: Column) -> DataFrame:
+    """measures for columns, for all but the last, and so on to the whole table; level has a bit for each column that was left out."""
+    return df.rollup(*columns).agg(F.grouping_id().cast("long").alias("level"), *measures)
+
+
+def cube(df: DataFrame, columns: list[str], *measures: Column) -> DataFrame:
+    """measures for each subset of columns; level has a bit for each column that was left out."""
+    return df.cube(*columns).agg(F.grouping_id().cast("long").alias("level"), *measures)
+
+
+def approximate_distinct(df: DataFrame, value: str, by: list[str] | None = None, error: float = 0.02) -> DataFrame:
+    """Distinct non-null values by a sketch of bounded size, merged over tasks; error is its relative standard deviation."""
+    return df.groupBy(*(by or [])).agg(F.approx_count_distinct(value, error).alias("distinct"))

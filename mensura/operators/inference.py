@@ -221,16 +221,40 @@ def wilcoxon_signed_rank(df: DataFrame, difference: str) -> DataFrame:
 # ---- resampling --------------------------------------------------------------------------
 
 
-def _draws(df: DataFrame, value: str, n_resamples: int, seed: int, tag: str) -> DataFrame:
-    """(b, x): n values drawn with replacement for each resample b, by index, in parallel over resamples."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x")).withColumn("i", F.row_number().over(Window.orderBy("x")) - 1)
-    n = rows.count()
-    if not n:
-        raise ValueError("no values to resample")
-    spark = df.sparkSession
-    picks = spark.range(n_resamples).select(F.col("id").alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    index = F.pmod(F.xxhash64("b", "k", F.lit(seed), F.lit(tag)), F.lit(n)).cast("int")
-    return picks.select("b", index.alias("i")).join(rows, "i").select("b", "x")
+#: A prime and the multipliers of the hash that draws weights.
+PRIME, _FIRST, _SECOND, _THIRD = 2_147_483_647, 48_271, 69_621, 16_807
+
+
+def with_poisson_weight(df: DataFrame, row: str, resample: str, seed: int, out: str = "_w", most: int = 8) -> DataFrame:
+    """df with how often a row is drawn in a resample: about Poisson with mean 1, from integers alone, so that any engine draws the same.
+
+    row and resample are integers; their hash is a few squarings and products modulo a prime.  Each step is a
+    column of its own, as what is used twice in one expression would be worked out twice.
+    """
+    df = df.withColumn("_z", (F.pmod(F.col(row), F.lit(PRIME)) * _FIRST + F.pmod(F.col(resample), F.lit(PRIME)) * _SECOND + seed) % PRIME)
+    z = F.col("_z")
+    for _ in range(3):
+        df = df.withColumn("_z", (z * z % PRIME + z * _THIRD + 12_345) % PRIME)
+    below, p, weight = 0.0, math.exp(-1), F.lit(0)
+    for k in range(most):
+        below += p
+        weight = weight + (z >= math.ceil(below * PRIME)).cast("int")
+        p /= k + 1
+    return df.withColumn(out, weight).drop("_z")
+
+
+def _resampled(df: DataFrame, value: str, key: Names, n_resamples: int, seed: int, stat: Callable[[str], Column], out: str) -> DataFrame:
+    """(b, out): stat over each resample.  Rows are read once and weighted where they are; what is shuffled are a task's partial aggregates, a row a resample."""
+    rows = df.where(F.col(value).isNotNull())
+    if key is None:
+        rows = ordering.numbered(rows.select(value), [value], "_row")
+    else:
+        keys = names(key)
+        whole = len(keys) == 1 and dict(df.dtypes)[keys[0]] in ("tinyint", "smallint", "int", "bigint")
+        rows = rows.select(value, (F.col(keys[0]).cast("long") if whole else F.xxhash64(*keys)).alias("_row"))
+    each = rows.select(F.col(value).cast("double").alias("x"), "_row", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b"))
+    drawn = with_poisson_weight(each.withColumn("b", F.col("b").cast("long")), "_row", "b", seed)
+    return drawn.select("b", "x", F.explode(F.array_repeat(F.lit(True), F.col("_w"))).alias("_once")).groupBy("b").agg(stat("x").alias(out))
 
 
 def _interval(stats: DataFrame, estimate: DataFrame, n_resamples: int, confidence: float) -> DataFrame:
@@ -239,20 +263,32 @@ def _interval(stats: DataFrame, estimate: DataFrame, n_resamples: int, confidenc
     return estimate.crossJoin(F.broadcast(ends)).select("estimate", "lower", "upper", F.lit(n_resamples).alias("n_resamples"), F.lit(confidence).alias("confidence"), "se")
 
 
-def bootstrap_ci(df: DataFrame, value: str, stat: Callable[[str], Column] = F.avg, n_resamples: int = 5000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of an aggregate; draws come from hashes of seed, resample and position, so a task run again draws the same."""
-    stats = _draws(df, value, n_resamples, seed, "a").groupBy("b").agg(stat("x").alias("s"))
+def bootstrap_ci(df: DataFrame, value: str, stat: Callable[[str], Column] = F.avg, n_resamples: int = 5000, confidence: float = 0.95, seed: int = 0, key: Names = None) -> DataFrame:
+    """Percentile interval of an aggregate over Poisson resamples; null values don't count.
+
+    Each row enters each resample by a hash of seed, resample and key, so a task run again draws the same.  Without
+    a key a row's number in the order of values takes its place.
+    """
+    _some(df, value)
+    stats = _resampled(df, value, key, n_resamples, seed, stat, "s")
     return _interval(stats, df.agg(stat(value).alias("estimate")), n_resamples, confidence)
 
 
-def bootstrap_diff_ci(df: DataFrame, value: str, group: str, a, b, stat: Callable[[str], Column] = F.avg, n_resamples: int = 5000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Of stat(group a) - stat(group b)."""
-    sides = [_draws(df.where(F.col(group) == g), value, n_resamples, seed, t).groupBy("b").agg(stat("x").alias(t)) for g, t in ((a, "a"), (b, "c"))]
+def bootstrap_diff_ci(df: DataFrame, value: str, group: str, a, b, stat: Callable[[str], Column] = F.avg, n_resamples: int = 5000, confidence: float = 0.95, seed: int = 0, key: Names = None) -> DataFrame:
+    """Of stat(group a) - stat(group b); both are drawn by themselves."""
+    for g in (a, b):
+        _some(df.where(F.col(group) == g), value)
+    sides = [_resampled(df.where(F.col(group) == g), value, key, n_resamples, seed + i, stat, t) for i, (g, t) in enumerate(((a, "a"), (b, "c")))]
     stats = sides[0].join(sides[1], "b").select((F.col("a") - F.col("c")).alias("s"))
     one = [df.where(F.col(group) == g).agg(stat(value).alias(t)) for g, t in ((a, "a"), (b, "c"))]
     return _interval(stats, one[0].crossJoin(F.broadcast(one[1])).select((F.col("a") - F.col("c")).alias("estimate")), n_resamples, confidence)
 
 
+def _some(df: DataFrame, value: str) -> None:
+    if df.where(F.col(value).isNotNull()).limit(1).count() == 0:
+        raise ValueError("no values to resample")
+
+
 # ---- power -------------------------------------------------------------------------------
 
 

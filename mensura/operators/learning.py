@@ -169,45 +169,50 @@ class GaussianNaiveBayes:
 
 # ---- neighbours --------------------------------------------------------------------------
 
-#: Numbers of a block of training rows that is sent to the executors at once.
-BLOCK_CELLS = 4_000_000
+#: Numbers of a block of rows, of either side, that one task compares.
+BLOCK_CELLS = 1_000_000
 
 
-def nearest(train: DataFrame, queries: DataFrame, features: str, key: str, query_key: str, k: int) -> DataFrame:
+def nearest(train: DataFrame, queries: DataFrame, features: str, key: str, query_key: str, k: int, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """(query, key, d2, rank) of each query's k nearest training rows by squared distance, then by key.
 
-    features: an array column of both.  The training rows go by in blocks of a fixed size; each gives
-    its own k best, of which the k best are taken.
+    features: an array column of both.  Both sides are cut into blocks by hash, every two of them meet in a task of their
+    own, which keeps k rows a query, and the k best of these remain.  Neither side comes to the driver or goes to every task.
     """
-    width = len(train.select(features).first()[0])
-    step = max(1, BLOCK_CELLS // width)
-    spark, out = train.sparkSession, None
+    first = train.select(features).first()
+    width = len(first[0]) if first else 1
+    per = max(1, block_cells // max(width, 1))
+    blocks = [max(1, -(-df.count() // per)) for df in (queries, train)]
     kind, qkind = train.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    schema = f"query {qkind}, key {kind}, d2 double"
-    rows, block = train.select(key, features).orderBy(key).toLocalIterator(), []
 
-    def best(shared) -> DataFrame:
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, x = shared.value
-            for p in parts:
-                q = np.stack(p[features].to_numpy()).astype(float) if len(p) else np.zeros((0, x.shape[1]))
-                for i in range(0, len(q), 256):
-                    d = ((q[i : i + 256, None, :] - x[None, :, :]) ** 2).sum(axis=2) if x.size < 200_000 else np.stack([((x - r) ** 2).sum(axis=1) for r in q[i : i + 256]])
-                    at = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query": np.repeat(p[query_key].to_numpy()[i : i + 256], at.shape[1]), "key": ids[at].ravel(), "d2": np.take_along_axis(d, at, 1).ravel()})
-
-        return queries.select(query_key, features).mapInPandas(run, schema)
-
-    for r in rows:
-        block.append(r)
-        if len(block) == step:
-            part = best(spark.sparkContext.broadcast((np.array([b[0] for b in block]), np.array([b[1] for b in block], float))))
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = best(spark.sparkContext.broadcast((np.array([b[0] for b in block]), np.array([b[1] for b in block], float).reshape(len(block), width))))
-        out = part if out is None else out.unionByName(part)
+    def dealt(df: DataFrame, name: str, mine: str, other: str, own: int, others: int) -> DataFrame:
+        """Rows with the number of their block, once for each block of the other side."""
+        rows = df.select(F.col(name).alias("id"), F.col(features).cast("array<double>").alias("x"), F.pmod(F.xxhash64(name), F.lit(own)).cast("int").alias(mine))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame({"query": [], "key": [], "d2": []})
+        t = t.sort_values("id")
+        ids, x, out = t["id"].to_numpy(), np.stack(t["x"].to_numpy()), []
+        for i in range(0, len(q), 64):
+            some = np.stack(q["x"].to_numpy()[i : i + 64])
+            d = np.stack([((x - v) ** 2).sum(axis=1) for v in some])
+            if len(ids) > k:  # every row as near as the k-th, so that ties go by key
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                at = [np.flatnonzero(r <= e) for r, e in zip(d, edge)]
+                at = [a[np.argsort(r[a], kind="stable")[:k]] for a, r in zip(at, d)]
+            else:
+                at = [np.argsort(r, kind="stable") for r in d]
+            for j, a in enumerate(at):
+                out.append(pd.DataFrame({"query": q["id"].iloc[i + j], "key": ids[a], "d2": d[j][a]}))
+        return pd.concat(out)
+
+    a = dealt(queries, query_key, "_q", "_t", blocks[0], blocks[1])
+    b = dealt(train, key, "_t", "_q", blocks[1], blocks[0])
+    found = a.groupBy("_q", "_t").cogroup(b.groupBy("_q", "_t")).applyInPandas(best, f"query {qkind}, key {kind}, d2 double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d2", "key"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def knn_classify(train: DataFrame, queries: DataFrame, features: str, y: str, key: str, query_key: str, k: int = 5) -> DataFrame:
@@ -348,15 +353,58 @@ class Tree:
         return [self] if self.left is None else self.left.leaves() + self.right.leaves()
 
 
-def grow(df: DataFrame, features: list[str], sums: list[str], impurity: Callable[[list[Column], Column], Column], leaf: Callable[[list[float], float], object], depth: int, least: int = 2, allowed: Callable[[int], list[str]] | None = None) -> Tree:
+#: Bins of a feature's values: quantiles, or the values themselves where there are no more.
+BINS = 1024
+
+
+def bin_edges(df: DataFrame, features: list[str], bins: int = BINS) -> list[list[float]]:
+    """The largest value of each bin, a list for each feature of at most `bins` numbers.
+
+    Quantiles come from one pass of mergeable sketches; a feature with no more than `bins` distinct values
+    has each of them as a bin.
+    """
+    at = F.expr("array(" + ", ".join(f"{i / bins!r}d" for i in range(1, bins)) + ")")
+    long = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in features])).alias("i", "x")).where("x is not null")
+    edges: list[list[float]] = [[] for _ in features]
+    few = []
+    for r in long.groupBy("i").agg(F.percentile_approx("x", at, 20 * bins).alias("q"), F.approx_count_distinct("x").alias("n")).collect():  # a row a feature
+        edges[r["i"]] = sorted(set(r["q"]))
+        few += [r["i"]] if r["n"] <= 1.2 * bins else []
+    if few:
+        each = long.where(F.col("i").isin(few)).distinct()
+        values: dict[int, list[float]] = {}
+        for r in each.collect():  # few features' few values
+            values.setdefault(r["i"], []).append(r["x"])
+        for i, v in values.items():
+            if len(v) <= bins:
+                edges[i] = sorted(v)
+    return edges
+
+
+def with_bins(df: DataFrame, features: list[str], edges: list[list[float]], out: str = "_bins") -> DataFrame:
+    """df with an array of the bins that its features fall in; -1 for null."""
+    tables = [np.array(e, float) for e in edges]
+
+    @F.pandas_udf("array<int>")
+    def place(x: pd.DataFrame) -> pd.Series:
+        v = x.to_numpy(dtype=float)
+        at = np.stack([np.where(np.isnan(v[:, i]), -1, np.searchsorted(e, v[:, i])) for i, e in enumerate(tables)], axis=1) if len(v) else np.zeros((0, len(tables)), int)
+        return pd.Series(list(at.astype(np.int32)))
+
+    return df.withColumn(out, place(F.struct(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])))
+
+
+def grow(df: DataFrame, features: list[str], sums: list[str], impurity: Callable[[list[Column], Column], Column], leaf: Callable[[list[float], float], object], depth: int, least: int = 2, allowed: Callable[[int], list[str]] | None = None, edges: list[list[float]] | None = None) -> Tree:
     """A tree grown level by level; each level is one plan for all of its nodes.
 
-    Rows carry sums (a column for each number that an impurity needs) and a weight `_w`.  Per node and
-    feature the rows are added up by distinct value, running totals give both sides of every cut
-    between neighbours, and the cut with the least total impurity wins: the first feature, then the
-    smallest cut, of equal ones.
+    Rows carry sums (a column for each number that an impurity needs) and a weight `_w`.  Per node, feature
+    and bin the rows are added up where they are, so that what is shuffled is at most a row for each of these and task.  Running
+    totals over a node's bins give both sides of every cut between neighbours, and the cut with the
+    least total impurity wins: the first feature, then the smallest cut, of equal ones.  A cut lies halfway between the
+    largest value under it and the smallest above it.  With no more distinct values than bins all cuts are tried.
     """
     root, number = Tree(), 0
+    df = with_bins(df, features, edges or bin_edges(df, features))
     open_: dict[int, Tree] = {0: root}
 
     def where(t: Tree, ids: dict[int, int]) -> Column:
@@ -372,20 +420,20 @@ def grow(df: DataFrame, features: list[str], sums: list[str], impurity: Callable
             t.value = leaf([totals[k][s] for s in sums], totals[k]["w"]) if k in totals else leaf([0.0] * len(sums), 0.0)
         if level == depth:
             break
-        long = rows.select("_node", "_w", *sums, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(["_node", "_w", *sums], features, "feature", "x")
-        cells = long.groupBy("_node", "feature", "x").agg(F.sum("_w").alias("w"), *[F.sum(s).alias(s) for s in sums])
-        w = Window.partitionBy("_node", "feature")
-        up = w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        run = cells.select("_node", "feature", "x", F.lead("x").over(w.orderBy("x")).alias("next"), F.sum("w").over(up).alias("lw"), F.sum("w").over(w).alias("tw"), *[F.sum(s).over(up).alias(f"l_{s}") for s in sums], *[F.sum(s).over(w).alias(f"t_{s}") for s in sums]).where("next is not null")
+        values = F.arrays_zip(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col("_bins").alias("bin"))
+        long = rows.select("_node", "_w", *sums, F.posexplode(values).alias("place", "v")).select("_node", "_w", *sums, (F.col("place") + 1).alias("place"), "v.x", "v.bin").where("bin >= 0")
+        cells = long.groupBy("_node", "place", "bin").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("_w").alias("w"), *[F.sum(s).alias(s) for s in sums])
+        w = Window.partitionBy("_node", "place")  # as many rows as bins
+        up = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        run = cells.select("_node", "place", ((F.col("high") + F.lead("low").over(w.orderBy("bin"))) / 2).alias("cut"), F.sum("w").over(up).alias("lw"), F.sum("w").over(w).alias("tw"), *[F.sum(s).over(up).alias(f"l_{s}") for s in sums], *[F.sum(s).over(w).alias(f"t_{s}") for s in sums]).where("cut is not null")
         rw = F.col("tw") - F.col("lw")
         score = impurity([F.col(f"l_{s}") for s in sums], F.col("lw")) * F.col("lw") + impurity([F.col(f"t_{s}") - F.col(f"l_{s}") for s in sums], rw) * rw
-        place = F.array_position(F.array(*[F.lit(c) for c in features]), F.col("feature"))
         ok = F.lit(True)
         if allowed:
             ok = F.lit(False)
             for k in open_:
-                ok = ok | ((F.col("_node") == k) & F.col("feature").isin(allowed(number + k)))
-        best = run.where(ok).groupBy("_node").agg(F.min(F.struct(F.round(score, 10).alias("s"), place.alias("p"), ((F.col("x") + F.col("next")) / 2).alias("cut"), "feature")).alias("b")).collect()
+                ok = ok | ((F.col("_node") == k) & F.col("place").isin([features.index(c) + 1 for c in allowed(number + k)]))
+        best = run.where(ok).groupBy("_node").agg(F.min(F.struct(F.round(score, 10).alias("s"), "place", "cut")).alias("b")).collect()
         number += len(open_)
         nxt: dict[int, Tree] = {}
         for r in best:
@@ -393,7 +441,7 @@ def grow(df: DataFrame, features: list[str], sums: list[str], impurity: Callable
             pure = sum(1 for s in sums if abs(total[s]) > 1e-12) <= 1 and len(sums) > 2
             if total["w"] < least or pure:
                 continue
-            t.feature, t.cut, t.left, t.right = r["b"]["feature"], r["b"]["cut"], Tree(), Tree()
+            t.feature, t.cut, t.left, t.right = features[r["b"]["place"] - 1], r["b"]["cut"], Tree(), Tree()
             for side in (t.left, t.right):
                 nxt[len(nxt)] = side
         if not nxt:
@@ -417,13 +465,13 @@ class DecisionTreeClassifier:
     tree: Tree | None = None
     allowed: Callable[[int], list[str]] | None = None
 
-    def fit(self, df: DataFrame, weight: Column | None = None) -> DecisionTreeClassifier:
+    def fit(self, df: DataFrame, weight: Column | None = None, edges: list[list[float]] | None = None) -> DecisionTreeClassifier:
         self.labels = self.labels or [r[0] for r in df.select(self.y).distinct().orderBy(self.y).collect()]
         w = F.lit(1.0) if weight is None else weight.cast("double")
         rows = df.withColumn("_w", w).withColumns({f"_c{i}": F.when(F.col(self.y) == k, w).otherwise(0.0) for i, k in enumerate(self.labels)}).where("_w > 0").persist()
         try:
             shares = lambda s, n: [x / n if n else 0.0 for x in s]
-            self.tree = grow(rows, self.features, [f"_c{i}" for i in range(len(self.labels))], _gini, shares, self.max_depth, 2, self.allowed)
+            self.tree = grow(rows, self.features, [f"_c{i}" for i in range(len(self.labels))], _gini, shares, self.max_depth, 2, self.allowed, edges)
         finally:
             rows.unpersist()
         return self
@@ -455,7 +503,7 @@ class RandomForestClassifier:
 
     def fit(self, df: DataFrame) -> RandomForestClassifier:
         labels = [r[0] for r in df.select(self.y).distinct().orderBy(self.y).collect()]
-        m = self.max_features or max(1, int(math.sqrt(len(self.features))))
+        m, edges = self.max_features or max(1, int(math.sqrt(len(self.features)))), bin_edges(df, self.features)
         for t in range(self.n_trees):
             # drawing n of n rows again and again gives each row about a Poisson number of places
             u = F.shiftrightunsigned(F.xxhash64(self.key, F.lit(self.seed), F.lit(t)), 11) / float(1 << 53)
@@ -465,7 +513,7 @@ class RandomForestClassifier:
                 weight = weight + (u >= below).cast("int")
                 p /= k + 1
             pick = lambda node, t=t: sorted(np.random.default_rng((self.seed, t, node)).choice(self.features, m, replace=False).tolist())
-            self.trees.append(DecisionTreeClassifier(self.features, self.y, self.max_depth, labels, allowed=pick).fit(df, weight))
+            self.trees.append(DecisionTreeClassifier(self.features, self.y, self.max_depth, labels, allowed=pick).fit(df, weight, edges))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -492,14 +540,14 @@ class GradientBoostingClassifier:
         rate = df.agg(F.avg(F.col(self.y).cast("double"))).first()[0]
         rate = min(1 - 1e-12, max(1e-12, rate))
         self.base = math.log(rate / (1 - rate))
-        rows = df.persist()
+        rows, edges = df.persist(), bin_edges(df, self.features)
         try:
             for _ in range(self.n_rounds):
                 p = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), 1 / (1 + F.exp(-self._score()))))
                 g = rows.withColumn("_w", F.lit(1.0)).withColumn("_p", p).withColumn("_r", F.col(self.y) - F.col("_p")).withColumn("_h", F.col("_p") * (1 - F.col("_p"))).withColumn("_rr", F.col("_r") * F.col("_r"))
                 sse = lambda s, w: F.when(w > 0, s[1] / F.when(w > 0, w) - (s[0] / F.when(w > 0, w)) * (s[0] / F.when(w > 0, w))).otherwise(0.0)
                 newton = lambda s, w: s[0] / s[2] if s[2] > 1e-12 else 0.0
-                self.trees.append(grow(g, self.features, ["_r", "_rr", "_h"], sse, newton, self.max_depth))
+                self.trees.append(grow(g, self.features, ["_r", "_rr", "_h"], sse, newton, self.max_depth, edges=edges))
         finally:
             rows.unpersist()
         return self

@@ -322,16 +322,22 @@ def interp1d(knots: DataFrame, points: DataFrame, kind: str = "linear", by: Name
 
 
 def interp2d(grid: DataFrame, points: DataFrame) -> DataFrame:
-    """points (x, y, ...) with z, bilinear over a rectangular grid (x, y, z); the first cell on shared edges.
+    """points (x, y, ...) with z, bilinear over a rectangular grid (x, y, z); the first cell on shared edges, and none outside.
 
-    Cells come from the grid's neighbours by two windows and meet the points in a range join, in which the cells are sent around.
+    Cells come from the grid's neighbours by two windows.  Each is listed under the buckets that it reaches into, as wide
+    as a cell is on average, and a point looks in its own bucket only: an equi-join, whatever the sizes of both sides.
     """
     gx = grid.withColumn("x1", F.lead("x").over(Window.partitionBy("y").orderBy("x"))).withColumn("z10", F.lead("z").over(Window.partitionBy("y").orderBy("x")))
     up = Window.partitionBy("x").orderBy("y")
     cells = gx.withColumn("y1", F.lead("y").over(up)).withColumn("z01", F.lead("z").over(up)).withColumn("z11", F.lead("z10").over(up)).where("x1 is not null and y1 is not null").select(F.col("x").alias("x0"), "x1", F.col("y").alias("y0"), "y1", F.col("z").alias("z00"), "z10", "z01", "z11")
-    lowest = cells.agg(F.min("x0").alias("lx"), F.min("y0").alias("ly"))
-    p = points.crossJoin(F.broadcast(lowest))
-    inside = ((F.col("x") > F.col("x0")) | ((F.col("x") == F.col("lx")) & (F.col("x0") == F.col("lx")))) & (F.col("x") <= F.col("x1")) & ((F.col("y") > F.col("y0")) | ((F.col("y") == F.col("ly")) & (F.col("y0") == F.col("ly")))) & (F.col("y") <= F.col("y1"))
+    of = cells.agg(F.min("x0"), F.min("y0"), F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0")), F.max("x1"), F.max("y1")).first()
+    if of[0] is None:
+        return points.limit(0).withColumn("z", F.lit(None).cast("double"))
+    lx, ly, wx, wy, hx, hy = map(float, of)
+    bucket = lambda c, low, wide: F.floor((F.col(c) - low) / wide).cast("long")
+    cells = cells.withColumn("_bx", F.explode(F.sequence(bucket("x0", lx, wx), bucket("x1", lx, wx)))).withColumn("_by", F.explode(F.sequence(bucket("y0", ly, wy), bucket("y1", ly, wy))))
+    p = points.where(F.col("x").between(lx, hx) & F.col("y").between(ly, hy)).withColumn("_bx", bucket("x", lx, wx)).withColumn("_by", bucket("y", ly, wy))
+    inside = ((F.col("x") > F.col("x0")) | ((F.col("x") == lx) & (F.col("x0") == lx))) & (F.col("x") <= F.col("x1")) & ((F.col("y") > F.col("y0")) | ((F.col("y") == ly) & (F.col("y0") == ly))) & (F.col("y") <= F.col("y1"))
     u, v = (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")), (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0"))
     z = (1 - u) * (1 - v) * F.col("z00") + u * (1 - v) * F.col("z10") + (1 - u) * v * F.col("z01") + u * v * F.col("z11")
-    return p.join(cells, inside).select(*points.columns, z.alias("z"))
+    return p.join(cells, ["_bx", "_by"]).where(inside).select(*points.columns, z.alias("z"))

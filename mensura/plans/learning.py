@@ -136,7 +136,40 @@ def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
     return learning.KMeans("x", 3, max_iter=5).fit(_vectors(spark, sf)).predict(_vectors(spark, sf)).select("vec_id", "cluster")
 
 
-@R.add()
+def _tree_sql(name: str, rows: str, depth: int, sums: dict[str, str], impurity: str) -> str:
+    """CTEs {name}0 to {name}{depth}: rows (vec_id, y, x, ...) with the node each has reached, every cut between neighbouring values tried.
+
+    impurity: of a side, with {s} for the sum s on it and {w} for its rows.
+    """
+    out = [f"{name}0 AS (SELECT *, 1 AS node FROM ({rows}) s)"]
+    both = " + ".join("(CASE WHEN {0} > 0 THEN {0} * ({1}) ELSE 0 END)".format(w, impurity.format(w=w, **{s: f"({side.format(s)})" for s in sums})) for w, side in (("lw", "l_{0}"), ("(tw - lw)", "t_{0} - l_{0}")))
+    for i in range(depth):
+        t = f"{name}{i}"
+        out += [
+            f"{t}v AS (SELECT node, f, x[f]::DOUBLE AS v, count(*)::DOUBLE AS w, {', '.join(f'sum({e})::DOUBLE AS {s}' for s, e in sums.items())} FROM {t}, range(1, {len(XS) + 1}) r(f) GROUP BY ALL)",
+            f"{t}c AS (SELECT node, f, (v + lead(v) OVER up) / 2 AS cut, sum(w) OVER up AS lw, sum(w) OVER side AS tw, {', '.join(f'sum({s}) OVER up AS l_{s}, sum({s}) OVER side AS t_{s}' for s in sums)} FROM {t}v WINDOW up AS (PARTITION BY node, f ORDER BY v), side AS (PARTITION BY node, f))",
+            f"{t}b AS (SELECT node, arg_min([f, cut], (round({both}, 10), f, cut)) AS b FROM {t}c WHERE cut IS NOT NULL GROUP BY node)",
+            f"{name}{i + 1} AS (SELECT d.* EXCLUDE (node), CASE WHEN b IS NULL THEN node ELSE 2 * node + (x[b[1]::INT] > b[2])::INT END AS node FROM {t} d LEFT JOIN {t}b USING (node))",
+        ]
+    return ", ".join(out)
+
+
+_ROWS = "SELECT vec_id, (label < 5)::INT AS y, embedding AS x FROM embeddings"
+
+
+def _boost_sql(rounds: int, depth: int, rate: float) -> str:
+    out = [f"s0 AS (SELECT *, ln(avg(y) OVER () / (1 - avg(y) OVER ())) AS score FROM ({_ROWS}) r)"]
+    for i in range(rounds):
+        rows = f"SELECT vec_id, y, x, score, y - 1 / (1 + exp(-score)) AS r, 1 / (1 + exp(-score)) * (1 - 1 / (1 + exp(-score))) AS h FROM s{i}"
+        out.append(_tree_sql(f"t{i}_", rows, depth, {"r": "r", "rr": "r * r"}, "{rr} / {w} - ({r} / {w}) * ({r} / {w})"))
+        out.append(f"s{i + 1} AS (SELECT vec_id, y, x, score + {rate} * sum(r) OVER (PARTITION BY node) / sum(h) OVER (PARTITION BY node) AS score FROM t{i}_{depth})")
+    return f"WITH {', '.join(out)} SELECT vec_id, y, round(1 / (1 + exp(-score)), 6) AS probability, (score > 0)::INT AS prediction FROM s{rounds}"
+
+
+_GINI = "1 - ({c0} * {c0} + {c1} * {c1}) / ({w} * {w})"
+
+
+@R.add(f"WITH {_tree_sql('d', _ROWS, 3, {'c0': '1 - y', 'c1': 'y'}, _GINI)} SELECT vec_id, y, (avg(y) OVER (PARTITION BY node) > 0.5)::INT AS prediction FROM d3")
 def tree_fit(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
     return learning.DecisionTreeClassifier(XS, "y", 3).fit(d).predict(d).select("vec_id", "y", "prediction")
@@ -148,10 +181,20 @@ def forest_fit(spark: SparkSession, sf: str) -> DataFrame:
     return learning.RandomForestClassifier(XS, "y", "vec_id", 3, 2).fit(d).predict(d).select("vec_id", "y", "prediction")
 
 
-@R.add()
+@R.add(_boost_sql(3, 2, 0.1))
 def gboost(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
-    return learning.GradientBoostingClassifier(XS, "y", 3).fit(d).predict(d).select("vec_id", "y", "prediction")
+    return rounded(learning.GradientBoostingClassifier(XS, "y", 3).fit(d).predict(d).select("vec_id", "y", "probability", "prediction"))
+
+
+@R.add(f"""WITH {_tree_sql('d', _ROWS, 1, {'c0': '1 - y', 'c1': 'y'}, _GINI)}
+SELECT b[1]::INT - 1 AS feature, round(b[2], 6) AS cut, (SELECT count(*) FROM d1 WHERE node = 2) AS left_rows, (SELECT round(avg(y), 6) FROM d1 WHERE node = 2) AS left_share, (SELECT round(avg(y), 6) FROM d1 WHERE node = 3) AS right_share FROM d0b""")
+def tree_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The first cut of a tree over all vectors: its feature, place and shares."""
+    d = _labelled(spark, sf)
+    t = learning.DecisionTreeClassifier(XS, "y", 1).fit(d).tree
+    left = d.where(F.col(t.feature) <= t.cut)
+    return rounded(left.agg(F.lit(XS.index(t.feature)).alias("feature"), F.lit(float(t.cut)).alias("cut"), F.count(F.lit(1)).alias("left_rows"), F.lit(float(t.left.value[1])).alias("left_share"), F.lit(float(t.right.value[1])).alias("right_share")))
 
 
 @R.add()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,9 +220,18 @@ def by_adjust(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inference.adjust_p_values(_p(spark, sf), "p", "p_partkey", "benjamini-yekutieli").drop("p"), 8)
 
 
-@R.add()
+def _poisson_sql(rows: str, value: str, seed: int, n: int) -> str:
+    """CTEs r0 to r3 and drawn (b, x, w): the weights of inference.with_poisson_weight."""
+    steps = [f"r0 AS (SELECT b, {value} AS x, (k % {inference.PRIME} * 48271 + b * 69621 + {seed}) % {inference.PRIME} AS z FROM ({rows}) s, range({n}) t(b) WHERE {value} IS NOT NULL)"]
+    steps += [f"r{i} AS (SELECT b, x, (z * z % {inference.PRIME} + z * 16807 + 12345) % {inference.PRIME} AS z FROM r{i - 1})" for i in (1, 2, 3)]
+    below = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+    return ", ".join(steps) + ", drawn AS (SELECT b, x, " + " + ".join(f"(z >= {math.ceil(p * inference.PRIME)})::INT" for p in below) + " AS w FROM r3)"
+
+
+@R.add(f"""WITH {_poisson_sql("SELECT s_suppkey AS k, s_acctbal FROM supplier", "s_acctbal", 0, 500)}, m AS (SELECT b, sum(w * x) / sum(w) AS s FROM drawn GROUP BY b)
+SELECT round((SELECT avg(s_acctbal) FROM supplier), 6) AS estimate, round(quantile_cont(s, 0.025), 6) AS lower, round(quantile_cont(s, 0.975), 6) AS upper, 500 AS n_resamples, 0.95::DOUBLE AS confidence, round(stddev_pop(s), 6) AS se FROM m""")
 def bootstrap_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return inference.bootstrap_ci(load(spark, sf, "supplier"), "s_acctbal", n_resamples=500)
+    return rounded(inference.bootstrap_ci(load(spark, sf, "supplier"), "s_acctbal", n_resamples=500, key="s_suppkey"))
 
 
 @R.add()
@@ -384,3 +395,13 @@ def gamma_poisson(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("""SELECT event_type, round((50 / 100.0::DOUBLE + sum(value) / 900.0::DOUBLE) / (1 / 100.0::DOUBLE + count(*) / 900.0::DOUBLE), 6) AS mean, round(sqrt(1 / (1 / 100.0::DOUBLE + count(*) / 900.0::DOUBLE)), 6) AS sd, count(*) AS n FROM events GROUP BY 1""")
 def normal_normal(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(causal.normal_normal_update(load(spark, sf, "events"), "value", 50.0, 10.0, 30.0, "event_type"))
+
+
+@R.add(f"""WITH {_poisson_sql("SELECT event_id AS k, value FROM events WHERE event_type = 'click'", "value", 3, 200)}, ca AS (SELECT b, quantile_cont(x, 0.5) AS s FROM (SELECT b, x, unnest(range(w)) FROM drawn) GROUP BY b),
+other AS (WITH {_poisson_sql("SELECT event_id AS k, value FROM events WHERE event_type = 'view'", "value", 4, 200)} SELECT b, quantile_cont(x, 0.5) AS s FROM (SELECT b, x, unnest(range(w)) FROM drawn) GROUP BY b), m AS (SELECT ca.s - other.s AS s FROM ca JOIN other USING (b))
+SELECT round((SELECT quantile_cont(value, 0.5) FROM events WHERE event_type = 'click') - (SELECT quantile_cont(value, 0.5) FROM events WHERE event_type = 'view'), 6) AS estimate,
+round(quantile_cont(s, 0.05), 6) AS lower, round(quantile_cont(s, 0.95), 6) AS upper, 200 AS n_resamples, 0.9::DOUBLE AS confidence, round(stddev_pop(s), 6) AS se FROM m""")
+def bootstrap_median_gap(spark: SparkSession, sf: str) -> DataFrame:
+    """The difference of two medians, over 200 resamples of all clicks and views."""
+    median = lambda c: F.percentile(c, 0.5)
+    return rounded(inference.bootstrap_diff_ci(load(spark, sf, "events"), "value", "event_type", "click", "view", median, 200, 0.9, 3, "event_id"))
