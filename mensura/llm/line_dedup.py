@@ -1,14 +1,15 @@
 """Line deduplication by content-defined chunks of lines.
 
-A rolling hash runs over the hashes of lines with words, WINDOW lines at a time.  In every least run of
-lines of RUN words or more the line of least rolling hash is a boundary, so boundaries are where the
-content says, whatever was inserted before; a line of RUN words is a run of its own.  A chunk
-reaches from a boundary line to the next one that gives it enough words, both included.
-
-Chunks are counted over the whole table.  Around those that occur again grow the passages that are
-removed: as few lines as have MIN_WORDS words together.  A longer passage is covered by such least
-passages to both ends, wherever it stands, and each of them has a chunk that its own lines alone decide,
-so none is missed.  Least passages that occur again are compared byte by byte; then the lines of
+Lines are often whole paragraphs, so each is first wrapped into rows of a few words, anew from its start; a short
+line is one row.  A rolling hash runs over the hashes of rows, WINDOW rows at a time.  From any row on, the
+next boundary is the row of least rolling hash among the next REACH rows, whatever the lengths of lines: so boundaries are where the content
+says, and come again after whatever was inserted before.  A chunk reaches from one boundary to the next and holds
+several rows.
+
+Chunks are counted over the whole table, a row each.  Around those that occur again grow the passages that are
+removed, line by line: as few whole lines as have MIN_WORDS words together.  A longer passage is covered by such least
+passages to both ends, wherever it stands, and each of them has a chunk that its own rows alone decide, so
+none is missed.  Least passages that occur again are compared byte by byte; then the lines of
 every occurrence but the first go.
 """
 
@@ -24,15 +25,15 @@ from pyspark.sql import types as T
 
 from mensura.llm.common import free_name, lean, scratch, slices, with_row_ids, written
 
-#: Lines that the rolling hash sees, words of a run with a boundary, words of a passage that is removed.
-WINDOW, RUN, MIN_WORDS = 2, 4, 25
+#: Rows that the rolling hash sees, rows among which the next boundary is, words of a passage that is removed.
+WINDOW, REACH, MIN_WORDS = 2, 4, 25
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 
 
 def rolling(hashes: list[int]) -> list[int]:
-    """The rolling hash that ends with each line."""
+    """The rolling hash that ends with each row."""
     drop = pow(_BASE, WINDOW, 1 << 64)
     out, h = [], 0
     for i, x in enumerate(hashes):
@@ -41,43 +42,39 @@ def rolling(hashes: list[int]) -> list[int]:
     return out
 
 
-def least_of_runs(words: list[int], values: list[int], run: int = RUN) -> list[int | None]:
-    """For the least run of lines with `run` words that starts with each line, the first line of least value; None where the lines do not suffice."""
-    out: list[int | None] = []
-    for a, n in enumerate(words):
-        b = a
-        while n < run and b + 1 < len(words):  # fewer than `run` steps, as every line has words
-            b += 1
-            n += words[b]
-        out.append(min(range(a, b + 1), key=values.__getitem__) if n >= run else None)
-    return out
+def row_words(min_words: int) -> int:
+    """Words of a row, such that a passage of min_words has the rows that decide a chunk: those the first hash sees before, and those of two boundaries."""
+    if min_words <= 2 * REACH + WINDOW - 2:
+        raise ValueError(f"min_words must be {2 * REACH + WINDOW - 1} or more")
+    return (min_words - 1) // (2 * REACH + WINDOW - 2)
+
+
+def next_boundary(values: list[int], i: int) -> int | None:
+    """The first row of least value among the REACH rows after i; None where there are fewer."""
+    if i + REACH >= len(values):
+        return None
+    return min(range(i + 1, i + 1 + REACH), key=values.__getitem__)
 
 
 class Cut:
-    """Lines with words of a text (numbers in the text, words of each), their boundaries and their chunks."""
+    """Lines with words of a text (numbers in the text, words of each), wrapped into rows where a passage needs them."""
 
-    def __init__(self, lines: list[bytes]):
+    def __init__(self, lines: list[bytes], size: int):
+        counted = [(i, w) for i, x in enumerate(lines) if (w := x.split())]
+        self.at = [i for i, _ in counted]
+        self.split = [w for _, w in counted]
+        self.words = [len(w) for w in self.split]
+        self.size = size
+        self.known: dict[int, list[int]] = {}
+
+    def rows(self, k: int, most: int) -> list[int]:
+        """Hashes of the first rows of a line."""
         import xxhash
 
-        counted = [(i, n) for i, x in enumerate(lines) if (n := len(x.split()))]
-        self.at = [i for i, _ in counted]
-        self.words = [n for _, n in counted]
-        self.chosen = least_of_runs(self.words, rolling([xxhash.xxh3_64_intdigest(lines[i]) for i in self.at]))
-        self.boundaries = sorted({b for b in self.chosen if b is not None})
-
-    def chunks(self, least: int) -> dict[int, int]:
-        """Last line of the chunk that starts with each boundary, where a boundary gives it `least` words."""
-        out, j, n = {}, 0, 0
-        ends = [0]
-        for w in self.words:
-            ends.append(ends[-1] + w)
-        for a in self.boundaries:
-            while j < len(self.boundaries) and ends[self.boundaries[j] + 1] - ends[a] < least:
-                j += 1
-            if j == len(self.boundaries):
-                break
-            out[a] = self.boundaries[j]
-        return out
+        if k not in self.known:
+            w, n = self.split[k], self.size
+            self.known[k] = [xxhash.xxh3_64_intdigest(b" ".join(w[i : i + n])) for i in range(0, min(len(w), most * n), n)]
+        return self.known[k]
 
     def passages(self, least: int) -> list[tuple[int, int]]:
         """(first, last) of the fewest lines of `least` words that start, or that end, with each line."""
@@ -95,25 +92,33 @@ class Cut:
             ends.add((a, b))  # a is the last start for this end
         return sorted(ends)
 
-    def chunk_of(self, first: int) -> int:
-        """The first boundary that the lines from `first` on decide alone: the rolling hash of `first` itself sees the line before it."""
-        return self.chosen[first if self.words[first] >= RUN else first + 1]
-
+    def chunk(self, first: int) -> tuple[int, int]:
+        """(name, line where it starts) of the first chunk that the rows from a line on decide: between the first two boundaries after its WINDOW - 1 first rows."""
+        import xxhash
 
-def chunk_words(min_words: int) -> int:
-    """Words of a chunk, such that every passage of min_words has one between boundaries that it decides itself.
+        need, hashes, lines, k = 2 * REACH + WINDOW - 1, [], [], first
+        while len(hashes) < need:  # a passage has as many
+            some = self.rows(k, need)
+            hashes += some
+            lines += [k] * len(some)
+            k += 1
+        values = rolling(hashes)
+        start = next_boundary(values, WINDOW - 2)
+        end = next_boundary(values, start)
+        body = b"".join(h.to_bytes(8, "little") for h in hashes[start : end + 1])
+        return int.from_bytes(xxhash.xxh3_64_digest(body), "little", signed=True), lines[start]
 
-    Before the first of these are fewer than RUN words of the passage's first line and fewer than RUN of a run, after the
-    last one fewer than RUN.
-    """
-    return max(1, min_words - 3 * (RUN - 1))
 
+def boundaries(lines: list[bytes], min_words: int = MIN_WORDS) -> tuple[int, list[int]]:
+    """Rows of a text, and those that are boundaries, each the next one of that before it."""
+    n = row_words(min_words)
+    import xxhash
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first line, lines, words) of the pieces that boundaries cut all lines into; wordless lines go with those before."""
-    cut = Cut(lines)
-    starts = sorted({0, *(cut.at[b] for b in cut.boundaries)}) if lines else []
-    return [(a, b - a, sum(len(x.split()) for x in lines[a:b])) for a, b in zip(starts, [*starts[1:], len(lines)])]
+    hashes = [xxhash.xxh3_64_intdigest(b" ".join(w[i : i + n])) for x in lines if (w := x.split()) for i in range(0, len(w), n)]
+    values, out, at = rolling(hashes), [], WINDOW - 2
+    while (at := next_boundary(values, at)) is not None:
+        out.append(at)
+    return len(hashes), out
 
 
 def _lines(text: str) -> list[bytes]:
@@ -125,35 +130,44 @@ def _name(passage: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def grown_chunks(lines: list[bytes], min_words: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(chunk, its first line, first line, lines, h1, h2): names of a chunk and of a least passage around it."""
-    cut, known = Cut(lines), {}
-    ends = cut.chunks(chunk_words(min_words))
-    body = lambda a, b: b"\n".join([lines[i] for i in cut.at[a : b + 1]])
+#: A least passage around a chunk: first line, lines, and its name.
+AROUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("lines", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
+
+
+def chunks_of(lines: list[bytes], min_words: int) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]]]]:
+    """(name, line, least passages that grow around it) of each chunk."""
+    cut, around, place = Cut(lines, row_words(min_words)), {}, {}
     for a, b in cut.passages(min_words):
-        c = cut.chunk_of(a)
-        if c not in known:
-            known[c] = _name(body(c, ends[c]))[0]
-        yield (known[c], cut.at[c], cut.at[a], cut.at[b] + 1 - cut.at[a], *_name(body(a, b)))
+        if a not in place:
+            place[a] = cut.chunk(a)
+        body = b"\n".join([lines[i] for i in cut.at[a : b + 1]])
+        around.setdefault(place[a], []).append((cut.at[a], cut.at[b] + 1 - cut.at[a], *_name(body)))
+    for (name, line), passages in around.items():
+        yield name, cut.at[line], passages
 
 
-def _passage_table(rows: DataFrame, min_words: int) -> DataFrame:
-    """(key, rid, chunk, chunk_at, start, lines, h1, h2) for each least passage of rows (key, rid, text)."""
-    new = {"chunk": T.LongType(), "chunk_at": T.IntegerType(), "start": T.IntegerType(), "lines": T.IntegerType(), "h1": T.LongType(), "h2": T.LongType()}
-    schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(n, t) for n, t in new.items()]])
+def _chunk_table(rows: DataFrame, min_words: int) -> DataFrame:
+    """(key, rid, chunk, chunk_at, around) for each chunk of rows (key, rid, text)."""
+    new = [T.StructField("chunk", T.LongType()), T.StructField("chunk_at", T.IntegerType()), T.StructField("around", AROUND)]
+    schema = T.StructType([*rows.schema.fields[:2], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64() if t == T.LongType() else pa.int32() for t in new.values()]
         for batch in batches:
             for texts, part in slices(batch):
-                at, cols = [], [[] for _ in kinds]
+                at, names, places, ends = [], [], [], [0]
+                flat: list[list[int]] = [[], [], [], []]
                 for i, t in enumerate(texts):
-                    for got in grown_chunks(_lines(t), min_words):
+                    for name, line, passages in chunks_of(_lines(t), min_words):
                         at.append(i)
-                        for col, v in zip(cols, got):
-                            col.append(v)
+                        names.append(name)
+                        places.append(line)
+                        for p in passages:
+                            for col, v in zip(flat, p):
+                                col.append(v)
+                        ends.append(len(flat[0]))
                 own = part.select([0, 1]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, cols, kinds)], schema.names)
+                each = pa.StructArray.from_arrays([pa.array(flat[0], pa.int32()), pa.array(flat[1], pa.int32()), pa.array(flat[2], pa.int64()), pa.array(flat[3], pa.int64())], ["start", "lines", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names, pa.int64()), pa.array(places, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], schema.names)
 
     return rows.mapInArrow(lean(run), schema)
 
@@ -193,7 +207,7 @@ def _texts_of(rows: DataFrame) -> DataFrame:
 
 
 def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with its text without repeated passages of min_words words or more, and n_lines, lines_removed, words_removed, removed_spans.
+    """docs with its text without repeated passages of min_words (9 at least) words or more, and n_lines, lines_removed, words_removed, removed_spans.
 
     Lines end with a line feed.  The first occurrence, by key (null first), file and place in it,
     stays; occurrences within one document count too.  removed_spans: (first_line, lines) of the
@@ -206,11 +220,11 @@ def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     rid, found = free_name(docs, "rid"), free_name(docs, "found")
     with scratch(docs.sparkSession):
         rows = with_row_ids(docs, rid)
-        table = written(_passage_table(rows.select(F.col(f"`{key}`").alias("key"), F.col(rid).alias("rid"), F.col(f"`{text}`").cast("string").alias("text")), min_words), "chunks")
+        table = written(_chunk_table(rows.select(F.col(f"`{key}`").alias("key"), F.col(rid).alias("rid"), F.col(f"`{text}`").cast("string").alias("text")), min_words), "chunks")
         where = F.struct("rid", "chunk_at")
         common = written(table.groupBy("chunk").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo <> hi").select("chunk"), "repeated")
         # here and below both sides are read anew, so that the join splits what has very many occurrences
-        grown = written(table.join(common, "chunk", "left_semi").drop("chunk", "chunk_at"), "grown")
+        grown = written(table.join(common, "chunk", "left_semi").select("key", "rid", F.inline("around")), "grown")
         place = F.struct("key", "rid", "start", "lines")
         again = written(grown.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")).where("n > 1").drop("n"), "passages")
         hits = grown.join(again, ["h1", "h2"]).withColumn("first", (F.col("rid") == F.col("at.rid")) & (F.col("start") == F.col("at.start")))

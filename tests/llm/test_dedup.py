@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from mensura.llm import exact_dedup, line_dedup, near_dedup
 from mensura.llm.decontaminate import words_of
@@ -238,46 +239,49 @@ def test_line_dedup_of_odd_tables(spark):
     assert by[4]["text"] == "" and by[4]["n_lines"] == 1 and by[5]["text"] == "a\n\nb\n" and by[6]["text"] == ""
 
 
-def test_chunks_cover_lines_and_resist_shifts():
+@pytest.mark.parametrize("sizes", [(13, 13), (4, 40), (41, 41), (1, 3), (100, 200)])
+def test_boundaries_are_a_share_of_rows_and_resist_shifts(sizes):
     rng = random.Random(8)
-    lines = [" ".join(words(rng, rng.randint(0, 20))).encode() for _ in range(400)]
-    whole = line_dedup.chunks(lines)
-    assert [c[0] for c in whole] + [400] == [0] + [a + n for a, n, _ in whole]
-    shifted = line_dedup.chunks([b"an inserted line", *lines])
-    tail = {(a - 1, n) for a, n, _ in shifted if a > 30}
-    assert len(tail - {(a, n) for a, n, _ in whole}) == 0
+    lines = [" ".join(words(rng, rng.randint(*sizes))).encode() for _ in range(300)]
+    n, found = line_dedup.boundaries(lines)
+    assert 0.25 * n <= len(found) <= 0.55 * n  # whatever the lengths of lines; rows of chunks are 2 to 4 then
+    gaps = np.diff(found)
+    assert gaps.max() <= line_dedup.REACH and np.mean(gaps) >= 1.8
+    more, shifted = line_dedup.boundaries([b"an inserted line of words", *lines])
+    moved = {i - (more - n) for i in shifted}
+    assert len({i for i in found if i > 40} - moved) <= 0.02 * len(found)
 
 
-def test_each_passage_has_a_chunk_that_its_lines_alone_decide():
+def test_each_passage_has_a_chunk_that_its_rows_alone_decide():
     rng = random.Random(13)
-    line = lambda: " ".join(words(rng, rng.choice([1, 1, 2, 3, 4, 5, 9, 16, 30]))).encode()
+    line = lambda: " ".join(words(rng, rng.choice([1, 1, 2, 3, 4, 5, 9, 16, 30, 80]))).encode()
     for _ in range(400):
+        least = rng.choice([9, 16, 25, 25, 50])
         passage = [line() for _ in range(rng.randint(1, 20))]
-        least = line_dedup.Cut(passage).passages(25)
+        inside = {(a, n) for _, _, around in line_dedup.chunks_of(passage, least) for a, n, *_ in around}
         seen = []
         for _ in range(2):
             before, after = [line() for _ in range(rng.randint(0, 9))], [line() for _ in range(rng.randint(0, 9))]
-            cut = line_dedup.Cut([*before, *passage, *after])
-            ends, found = cut.chunks(line_dedup.chunk_words(25)), {}
-            for a, b in cut.passages(25):
-                c = cut.chunk_of(a)
-                assert a <= c <= ends[c] <= b
-                found[a - len(before), b - len(before)] = (c - len(before), ends[c] - len(before))
-            assert found.keys() >= set(least)
-            seen.append([found[x] for x in least])
+            found = {}
+            for name, at, around in line_dedup.chunks_of([*before, *passage, *after], least):
+                for a, n, h1, h2 in around:
+                    assert a <= at < a + n
+                    found[a - len(before), n] = (name, at - len(before), h1, h2)
+            assert found.keys() >= inside
+            seen.append([found[x] for x in sorted(inside)])
         assert seen[0] == seen[1]
+    with pytest.raises(ValueError):
+        line_dedup.row_words(8)
 
 
-def test_boundaries_are_least_of_runs():
+def test_next_boundaries_are_least_of_the_rows_that_follow():
     rng = random.Random(14)
-    for _ in range(300):
-        sizes = [rng.randint(1, 6) for _ in range(rng.randint(0, 15))]
-        values = [rng.randint(0, 5) for _ in sizes]
-        want = []
-        for a in range(len(sizes)):
-            run = next((range(a, b + 1) for b in range(a, len(sizes)) if sum(sizes[a : b + 1]) >= 4), None)
-            want.append(None if run is None else next(i for i in run if values[i] == min(values[j] for j in run)))
-        assert line_dedup.least_of_runs(sizes, values, 4) == want
+    for _ in range(200):
+        values = [rng.randint(0, 5) for _ in range(rng.randint(0, 15))]
+        for i in range(-1, len(values)):
+            after = values[i + 1 : i + 1 + line_dedup.REACH]
+            want = i + 1 + after.index(min(after)) if len(after) == line_dedup.REACH else None
+            assert line_dedup.next_boundary(values, i) == want
 
 
 def test_similarity_is_brute_force():
