@@ -25,6 +25,8 @@ class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
+        #: Queries of fixed inputs, which read no table: tests run them and hold them to their SQL, but they are not registered.
+        self.aside: dict[str, tuple[Query, str | None]] = {}
 
     def add(self, sql: str | None = None) -> Callable[[Query], Query]:
         def note(f: Query) -> Query:
@@ -34,3 +36,10 @@ class Registry:
             return f
 
         return note
+
+    def fixed(self, sql: str | None = None) -> Callable[[Query], Query]:
+        def note(f: Query) -> Query:
+            self.aside[f.__name__] = (f, sql)
+            return f
+
+        return note

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions import distributions, science, special
-from mensura.operators import calculus, causal, descriptive, graph, inference, learning, linalg, metrics, signals, simulation, validation
+from mensura.operators import calculus, causal, descriptive, graph, inference, learning, linalg, metrics, ordering, signals, simulation, validation
 from mensura.operators.text import KnowledgeGraph
 from mensura.plans.common import Registry, load, rounded
 from mensura.plans.text import EDGES, G, H, _moments, _whole, all_hours, even_hours, places
@@ -48,17 +48,17 @@ def t_two_sided(t: str, df: str) -> str:
 
 
 @R.add(f"""
-WITH g AS (SELECT k::INT AS k, k / 8.1::DOUBLE AS x, k / 41.0::DOUBLE AS p FROM range(1, 41) r(k))
-SELECT k, round(exp(1.5 * ln(x) - x / 2 - 2.5 * ln(2) - lgamma(2.5)), 8) AS chi2_pdf, round(1 - exp(-x / 2) * (1 + x / 2), 8) AS chi2_cdf, round(exp(-x / 2) * (1 + x / 2), 8) AS chi2_sf, round(-2 * ln(1 - p), 7) AS chi2_ppf,
+WITH g AS (SELECT p_partkey, p_size / 8.1::DOUBLE AS x, p_size / 51.0::DOUBLE AS p FROM part)
+SELECT p_partkey, round(exp(1.5 * ln(x) - x / 2 - 2.5 * ln(2) - lgamma(2.5)), 8) AS chi2_pdf, round(1 - exp(-x / 2) * (1 + x / 2), 8) AS chi2_cdf, round(exp(-x / 2) * (1 + x / 2), 8) AS chi2_sf, round(-2 * ln(1 - p), 7) AS chi2_ppf,
 round(exp(lgamma(4) - lgamma(3.5)) / sqrt(7 * pi()) * pow(1 + x * x / 7, -4), 8) AS t_pdf, round(0.5 + x / (2 * sqrt(2 + x * x)), 8) AS t_cdf, round(1 - x / sqrt(2 + x * x), 8) AS t_sf, round((2 * p - 1) / sqrt(2 * p * (1 - p)), 7) AS t_ppf,
 round(pow(1 + x / 3, -3), 8) AS f_sf, round(x * x * exp(-x / 2) / 16, 8) AS gamma_pdf, round(12 * p * pow(1 - p, 2), 8) AS beta_pdf, round({phi('x')}, 8) AS normal_cdf,
 round(lgamma(x), 7) AS gammln, round(1 - exp(-x) * (1 + x), 8) AS gammp, round(exp(-x) * (1 + x), 8) AS gammq, round(6 * p * p - 8 * pow(p, 3) + 3 * pow(p, 4), 8) AS betai FROM g""")
 def special_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Continuous distributions and the functions under them, on a grid."""
+    """Continuous distributions and the functions under them, at the sizes of all parts (1 to 50)."""
     f, d = special.column_function, distributions
-    g = spark.range(1, 41).select(F.col("id").cast("int").alias("k"), (F.col("id") / 8.1).alias("x"), (F.col("id") / 41).alias("p"))
+    g = load(spark, sf, "part").select("p_partkey", (F.col("p_size") / 8.1).alias("x"), (F.col("p_size") / 51).alias("p"))
     out = g.select(
-        "k", d.chi2_pdf("x", 5.0).alias("chi2_pdf"), d.chi2_cdf("x", 4.0).alias("chi2_cdf"), special.chi2_sf("x", 4.0).alias("chi2_sf"), F.round(d.chi2_ppf("p", 2.0), 7).alias("chi2_ppf"),
+        "p_partkey", d.chi2_pdf("x", 5.0).alias("chi2_pdf"), d.chi2_cdf("x", 4.0).alias("chi2_cdf"), special.chi2_sf("x", 4.0).alias("chi2_sf"), F.round(d.chi2_ppf("p", 2.0), 7).alias("chi2_ppf"),
         d.t_pdf("x", 7.0).alias("t_pdf"), d.t_cdf("x", 2.0).alias("t_cdf"), special.t_sf("x", 2.0).alias("t_sf"), F.round(d.t_ppf("p", 2.0), 7).alias("t_ppf"),
         special.f_sf("x", 2.0, 6.0).alias("f_sf"), d.gamma_pdf("x", 3.0, 2.0).alias("gamma_pdf"), d.beta_pdf("p", 2.0, 3.0).alias("beta_pdf"), d.gaussian_cdf("x").alias("normal_cdf"),
         F.round(f(special.gammln)("x"), 7).alias("gammln"), f(special.gammp)(F.lit(2.0), "x").alias("gammp"), f(special.gammq)(F.lit(2.0), "x").alias("gammq"), f(special.betai)(F.lit(2.0), F.lit(3.0), "p").alias("betai"),
@@ -81,19 +81,31 @@ def _choose(n: str, k: str) -> str:
 
 @R.add(f"""
 WITH g AS (SELECT k::INT AS k, CASE WHEN k >= 1 THEN pow(0.7::DOUBLE, k - 1) * 0.3 ELSE 0.0 END::DOUBLE AS geo, CASE WHEN k <= 7 THEN exp({_choose('7', 'k')} + {_choose('13', '(8 - k)')} - {_choose('20', '8')}) ELSE 0.0 END::DOUBLE AS hyper, exp({_choose('(k + 2)', 'k')} + 3 * ln(0.4) + k * ln(0.6)) AS neg FROM range(0, 9) r(k))
-SELECT k, round(geo, 8) AS geometric_pmf, round(sum(geo) OVER (ORDER BY k), 8) AS geometric_cdf, round(hyper, 8) AS hypergeometric_pmf, round(sum(hyper) OVER (ORDER BY k), 8) AS hypergeometric_cdf, round(neg, 8) AS negative_binomial_pmf, round(sum(neg) OVER (ORDER BY k), 8) AS negative_binomial_cdf FROM g""")
+, v AS (SELECT k, round(geo, 8) AS geometric_pmf, round(sum(geo) OVER (ORDER BY k), 8) AS geometric_cdf, round(hyper, 8) AS hypergeometric_pmf, round(sum(hyper) OVER (ORDER BY k), 8) AS hypergeometric_cdf, round(neg, 8) AS negative_binomial_pmf, round(sum(neg) OVER (ORDER BY k), 8) AS negative_binomial_cdf FROM g)
+SELECT p_partkey, v.* FROM part JOIN v ON k = p_size % 9""")
 def discrete_values(spark: SparkSession, sf: str) -> DataFrame:
-    d, k = distributions, spark.range(9).select(F.col("id").cast("int").alias("k"))
-    return rounded(k.select("k", d.geometric_pmf("k", 0.3).alias("geometric_pmf"), d.geometric_cdf("k", 0.3).alias("geometric_cdf"), d.hypergeometric_pmf("k", 7.0, 13.0, 8.0).alias("hypergeometric_pmf"), d.hypergeometric_cdf("k", 7.0, 13.0, 8.0).alias("hypergeometric_cdf"), d.negative_binomial_pmf("k", 3.0, 0.4).alias("negative_binomial_pmf"), d.negative_binomial_cdf("k", 3.0, 0.4).alias("negative_binomial_cdf")), 8)
+    d, k = distributions, load(spark, sf, "part").select("p_partkey", (F.col("p_size") % 9).cast("int").alias("k"))
+    return rounded(k.select("p_partkey", "k", d.geometric_pmf("k", 0.3).alias("geometric_pmf"), d.geometric_cdf("k", 0.3).alias("geometric_cdf"), d.hypergeometric_pmf("k", 7.0, 13.0, 8.0).alias("hypergeometric_pmf"), d.hypergeometric_cdf("k", 7.0, 13.0, 8.0).alias("hypergeometric_cdf"), d.negative_binomial_pmf("k", 3.0, 0.4).alias("negative_binomial_pmf"), d.negative_binomial_cdf("k", 3.0, 0.4).alias("negative_binomial_cdf")), 8)
 
 
-INTERVALS = {"beta_lower": "pow(0.025::DOUBLE, 1 / 3.0::DOUBLE)", "beta_upper": "pow(0.975::DOUBLE, 1 / 3.0::DOUBLE)", "gamma_lower": "-ln(0.975) / 2", "gamma_upper": "-ln(0.025) / 2", "normal_lower": "10 - 2 * 1.959963984540054", "normal_upper": "10 + 2 * 1.959963984540054"}
+_Z = 1.959963984540054
 
 
-@R.add(named_sql({**INTERVALS, "bayes_factor": "exp(lgamma(8) + lgamma(5) - lgamma(13) - 7 * ln(0.5) - 4 * ln(0.5) + lgamma(2) - 2 * lgamma(1))"}))
+@R.add(f"""WITH b AS (SELECT p_brand, count(*) AS n, count_if(p_size > 25) AS k, avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part GROUP BY 1)
+SELECT p_brand, round(pow(0.025::DOUBLE, 1.0::DOUBLE / n), 6) AS beta_lower, round(pow(0.975::DOUBLE, 1.0::DOUBLE / n), 6) AS beta_upper, round(-ln(0.975) / (n / 40.0::DOUBLE), 6) AS gamma_lower, round(-ln(0.025) / (n / 40.0::DOUBLE), 6) AS gamma_upper,
+round(m - {_Z} * s, 5) AS normal_lower, round(m + {_Z} * s, 5) AS normal_upper, round(lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 2) - n * ln(0.5), 6) AS log_bayes_factor FROM b""")
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
-    ends = {"beta": causal.beta_credible_interval(3.0, 1.0), "gamma": causal.gamma_credible_interval(1.0, 2.0), "normal": causal.normal_credible_interval(10.0, 2.0)}
-    return named(spark, {**{f"{k}_{side}": v for k, pair in ends.items() for side, v in zip(("lower", "upper"), pair)}, "bayes_factor": causal.bayes_factor(7, 11, 0.5)})
+    """Credible intervals and the evidence against an even share of large parts, by brand; a row a brand is worked on."""
+    b = load(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_size") > 25).alias("k"), F.avg("p_retailprice").alias("m"), F.stddev_samp("p_retailprice").alias("s"))
+
+    @F.udf("array<double>")
+    def ends(n: int, k: int, m: float, s: float) -> list[float]:
+        pairs = (causal.beta_credible_interval(float(n), 1.0), causal.gamma_credible_interval(1.0, n / 40), causal.normal_credible_interval(m, s))
+        return [*(float(v) for pair in pairs for v in pair), math.log(causal.bayes_factor(k, n, 0.5))]
+
+    v = b.select("p_brand", ends("n", "k", "m", "s").alias("v"))
+    digits = {"beta_lower": 6, "beta_upper": 6, "gamma_lower": 6, "gamma_upper": 6, "normal_lower": 5, "normal_upper": 5, "log_bayes_factor": 6}
+    return v.select("p_brand", *[F.round(F.col("v")[i], d).alias(c) for i, (c, d) in enumerate(digits.items())])
 
 
 # ---- inference ---------------------------------------------------------------------------
@@ -152,12 +164,19 @@ def wilcoxon_p(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inference.wilcoxon_signed_rank(load(spark, sf, "customer").select((F.col("c_acctbal") - 4500).alias("d")), "d"))
 
 
-_NULL, _ALT = "sqrt(2 * 0.35 * 0.65 / 120.0::DOUBLE)", "sqrt((0.3 * 0.7 + 0.4 * 0.6) / 120.0::DOUBLE)"
+@R.add(f"""WITH b AS (SELECT p_brand, count(*) AS n, avg((p_size > 25)::INT) AS p, avg(p_retailprice) / 1000 AS d FROM part GROUP BY 1),
+q AS (SELECT p_brand, n, d, 0.05 / n AS alpha, abs(p - 0.65) AS gap, {_Z} * sqrt(2 * (p + 0.65) / 2 * (1 - (p + 0.65) / 2) / n) AS nul, sqrt((p * (1 - p) + 0.65 * 0.35) / n) AS alt, 0.95 / sqrt(2 * 0.975 * 0.025) AS c FROM b)
+SELECT p_brand, round({phi('((gap - nul) / alt)')} + {phi('((-gap - nul) / alt)')}, 6) AS proportions, round(1 - (0.5 + (c - d) / (2 * sqrt(2 + (c - d) * (c - d)))) + (0.5 + (-c - d) / (2 * sqrt(2 + (-c - d) * (-c - d)))), 6) AS t_of_two, round(alpha, 8) AS alpha FROM q""")
+def power_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Power against a share of 0.65 and of a shift of the mean price, and a corrected level, by brand; a row a brand is worked on."""
+    b = load(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p_size") > 25).cast("double")).alias("p"), (F.avg("p_retailprice") / 1000).alias("d"))
 
+    @F.udf("array<double>")
+    def power(n: int, p: float, d: float) -> list[float]:
+        return [inference.power_proportion_test(p, 0.65, n), inference.power_t_test(d, 2), inference.bonferroni_corrected_alpha(0.05, n)]
 
-@R.add(named_sql({"proportions": f"{phi(f'((0.1 - 1.959963984540054 * {_NULL}) / {_ALT})')} + {phi(f'((-0.1 - 1.959963984540054 * {_NULL}) / {_ALT})')}", "t_of_two": "(SELECT 1 - (0.5 + a / (2 * sqrt(2 + a * a))) + (0.5 + b / (2 * sqrt(2 + b * b))) FROM (SELECT 0.95 / sqrt(2 * 0.975 * 0.025) - 1.5 AS a, -0.95 / sqrt(2 * 0.975 * 0.025) - 1.5 AS b))", "alpha": "0.05 / 8"}))
-def power_values(spark: SparkSession, sf: str) -> DataFrame:
-    return named(spark, {"proportions": inference.power_proportion_test(0.3, 0.4, 120), "t_of_two": inference.power_t_test(1.5, 2), "alpha": inference.bonferroni_corrected_alpha(0.05, 8)})
+    v = b.select("p_brand", power("n", "p", "d").alias("v"))
+    return v.select("p_brand", F.round(F.col("v")[0], 6).alias("proportions"), F.round(F.col("v")[1], 6).alias("t_of_two"), F.round(F.col("v")[2], 8).alias("alpha"))
 
 
 @R.add("SELECT p_brand, round(avg(p_retailprice), 5) AS mean, round(var_samp(p_retailprice), 4) AS variance, round(stddev_samp(p_retailprice), 5) AS stdev FROM part GROUP BY 1")
@@ -216,7 +235,8 @@ def audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("""
 WITH r AS (SELECT avg(p_size) AS a, stddev_pop(p_size) AS b FROM part WHERE p_partkey % 2 = 0), o AS (SELECT abs((p_size - a) / b) > 1.7 AS x FROM part, r WHERE p_partkey % 2 = 1)
-SELECT 'out-of-distribution' AS name, CASE WHEN count_if(x) = 0 THEN 'pass' ELSE 'warning' END AS status, count_if(x)::VARCHAR AS n FROM o UNION ALL SELECT 'feature-drift', 'pass', '0'""")
+SELECT 'out-of-distribution' AS name, CASE WHEN count_if(x) = 0 THEN 'pass' ELSE 'warning' END AS status, count_if(x)::VARCHAR AS n FROM o UNION ALL
+SELECT 'feature-drift', CASE WHEN max(d) > 0.2 THEN 'warning' ELSE 'pass' END, (max(d) > 0.2)::INT::VARCHAR FROM (SELECT abs(sum(a) OVER up / sum(a) OVER ()::DOUBLE - sum(b) OVER up / sum(b) OVER ()::DOUBLE) AS d FROM (SELECT l_tax, count_if(l_orderkey % 2 = 0) AS a, count_if(l_orderkey % 2 = 1) AS b FROM lineitem GROUP BY 1) WINDOW up AS (ORDER BY l_tax))""")
 def shift_checks(spark: SparkSession, sf: str) -> DataFrame:
     v, p, li = validation, load(spark, sf, "part"), load(spark, sf, "lineitem")
     screened = v.screen_ood(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), ["p_size"], 1.7)
@@ -225,9 +245,16 @@ def shift_checks(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("name", "status", F.coalesce(F.try_element_at("details", F.lit("flagged")), F.try_element_at("details", F.lit("drifted"))).alias("n"))
 
 
-@R.add("SELECT * FROM (VALUES ('temporal-order', 'pass'), ('no-unmeasured-confounding', 'warning'), ('positivity', 'fail'), ('consistency', 'pass')) t(name, status)")
+@R.add("""SELECT 'temporal-order' AS name, CASE WHEN (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate) = 0 THEN 'pass' ELSE 'fail' END AS status UNION ALL SELECT 'no-unmeasured-confounding', 'warning'
+UNION ALL SELECT 'positivity', CASE WHEN count(DISTINCT (o_orderstatus, o_orderpriority)) = count(DISTINCT o_orderstatus) * count(DISTINCT o_orderpriority) THEN 'pass' ELSE 'fail' END FROM orders
+UNION ALL SELECT 'consistency', CASE WHEN count(DISTINCT l_linenumber) = 1 THEN 'pass' ELSE 'fail' END FROM lineitem""")
 def causal_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return causal.audit_causal_assumptions(spark, causal.CausalAssumptions(True, None, False, True))
+    """Assumptions as the tables show them: shipped after ordered, every priority in every status, one kind of line; what is unmeasured stays unknown."""
+    o, li = load(spark, sf, "orders"), load(spark, sf, "lineitem")
+    early = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate < o_orderdate").limit(1).count()
+    seen = o.agg(F.countDistinct("o_orderstatus", "o_orderpriority").alias("both"), F.countDistinct("o_orderstatus").alias("a"), F.countDistinct("o_orderpriority").alias("b")).first()
+    kinds = li.agg(F.countDistinct("l_linenumber")).first()[0]
+    return causal.audit_causal_assumptions(spark, causal.CausalAssumptions(early == 0, None, seen["both"] == seen["a"] * seen["b"], kinds == 1))
 
 
 # ---- learning ----------------------------------------------------------------------------
@@ -314,11 +341,11 @@ def small_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return named(spark, {"determinant": linalg.determinant(m), "rank": linalg.rank(m), "condition": linalg.condition_number(m), "eigenvalue": linalg.power_iteration(m)[0], "singular_1": one, "singular_2": two, "trace": linalg.matrix_trace(m).first()[0]}, 5)
 
 
-@R.add("SELECT round(sum(l_quantity * l_tax), 4) AS dot, round(sum(abs(l_tax)), 5) AS norm1, round(sqrt(sum(l_tax * l_tax)), 6) AS norm2, round(pow(sum(pow(abs(l_tax), 3)), 1 / 3.0::DOUBLE), 6) AS norm3 FROM lineitem")
+@R.add("WITH v AS (SELECT o_totalprice / 1000 AS a, o_custkey / 1000.0::DOUBLE AS x FROM orders) SELECT round(sum(a * x), 4) AS dot, round(sum(abs(x)), 5) AS norm1, round(sqrt(sum(x * x)), 6) AS norm2, round(pow(sum(pow(abs(x), 3)), 1 / 3.0::DOUBLE), 6) AS norm3 FROM v")
 def vector_measures(spark: SparkSession, sf: str) -> DataFrame:
-    li = load(spark, sf, "lineitem").withColumn("i", F.monotonically_increasing_id())
-    tax = li.select("i", F.col("l_tax").alias("x"))
-    out = linalg.dot(li.select("i", F.col("l_quantity").alias("x")), tax)
+    o = load(spark, sf, "orders").withColumn("i", F.col("o_orderkey"))
+    tax = o.select("i", (F.col("o_custkey") / 1000).alias("x"))
+    out = linalg.dot(o.select("i", (F.col("o_totalprice") / 1000).alias("x")), tax)
     for p in (1, 2, 3):
         out = out.crossJoin(F.broadcast(linalg.vector_norm(tax, float(p)).withColumnRenamed("norm", f"norm{p}")))
     return out.select(F.round("dot", 4).alias("dot"), F.round("norm1", 5).alias("norm1"), F.round("norm2", 6).alias("norm2"), F.round("norm3", 6).alias("norm3"))
@@ -329,9 +356,13 @@ def layer_norm(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(linalg.layer_norm(_whole(spark, sf)))
 
 
-@R.add("SELECT r::INT AS \"row\", c::INT AS col, round(CASE WHEN c % 2 = 0 THEN sin(r / pow(10000.0::DOUBLE, (c - c % 2) / 64.0::DOUBLE)) ELSE cos(r / pow(10000.0::DOUBLE, (c - c % 2) / 64.0::DOUBLE)) END, 8) + 0.0 AS val FROM range(0, 100) a(r), range(0, 64) b(c)")
+@R.add("""WITH x AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, embedding FROM embeddings)
+SELECT r::INT AS "row", c::INT AS col, round(embedding[c + 1]::DOUBLE + CASE WHEN c % 2 = 0 THEN sin(r / pow(10000.0::DOUBLE, (c - c % 2) / 64.0::DOUBLE)) ELSE cos(r / pow(10000.0::DOUBLE, (c - c % 2) / 64.0::DOUBLE)) END, 7) + 0.0 AS val FROM x, range(0, 64) b(c)""")
 def positions(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(linalg.positional_encoding(spark, 100, 64), 8)
+    """All vectors as one sequence, with what each place adds to them."""
+    v = ordering.numbered(load(spark, sf, "embeddings"), ["vec_id"], "n").select((F.col("n") - 1).cast("int").alias("row"), F.posexplode("embedding").alias("col", "x"))
+    places = linalg.positional_encoding(spark, v.agg(F.max("row")).first()[0] + 1, 64)
+    return rounded(v.join(places, ["row", "col"]).select("row", "col", (F.col("x").cast("double") + F.col("val")).alias("val")), 7)
 
 
 # ---- signals -----------------------------------------------------------------------------
@@ -455,14 +486,14 @@ def concepts(spark: SparkSession, sf: str) -> DataFrame:
 # ---- calculus ----------------------------------------------------------------------------
 
 
-@R.add(named_sql({"romberg": "exp(1) - 1", "gauss": "1 / 5.0", "adaptive": "2", "simpson_2d": "1 / 4.0", "gauss_2d": "1 / 9.0", "integral": "exp(1) - 1", "derivative": "cos(1)", "gradient_x": "4", "gradient_y": "3"}, 5))
+@R.fixed(named_sql({"romberg": "exp(1) - 1", "gauss": "1 / 5.0", "adaptive": "2", "simpson_2d": "1 / 4.0", "gauss_2d": "1 / 9.0", "integral": "exp(1) - 1", "derivative": "cos(1)", "gradient_x": "4", "gradient_y": "3"}, 5))
 def quadrature_rules(spark: SparkSession, sf: str) -> DataFrame:
     c = calculus
     gx, gy = c.gradient(lambda p: p[0] ** 2 + 3 * p[1], [2.0, 1.0])
     return named(spark, {"romberg": c.romberg(math.exp, 0, 1).value, "gauss": c.gaussian_quadrature(lambda x: x**4, 0, 1), "adaptive": c.adaptive_simpson(math.sin, 0, math.pi).value, "simpson_2d": c.simpson_2d(spark, lambda x, y: x * y, 0, 1, 0, 1), "gauss_2d": c.gaussian_quadrature_2d(lambda x, y: (x * y) ** 2, 0, 1, 0, 1), "integral": c.integral(spark, F.exp, 0, 1), "derivative": c.derivative(math.sin, 1.0), "gradient_x": gx, "gradient_y": gy}, 5)
 
 
-@R.add(named_sql({"euler": "pow(0.9::DOUBLE, 10)", "midpoint": "pow(0.905::DOUBLE, 10)", "rk4": "pow(1 - 0.1::DOUBLE + 0.005 - 0.001 / 6 + 0.0001 / 24, 10)", "backward_euler": "pow(1.1::DOUBLE, -10)", "trapezoid": "pow(0.95::DOUBLE / 1.05, 10)", "rk45": "exp(-1)"}))
+@R.fixed(named_sql({"euler": "pow(0.9::DOUBLE, 10)", "midpoint": "pow(0.905::DOUBLE, 10)", "rk4": "pow(1 - 0.1::DOUBLE + 0.005 - 0.001 / 6 + 0.0001 / 24, 10)", "backward_euler": "pow(1.1::DOUBLE, -10)", "trapezoid": "pow(0.95::DOUBLE / 1.05, 10)", "rk45": "exp(-1)"}))
 def decay_steps(spark: SparkSession, sf: str) -> DataFrame:
     """y' = -y from 1, ten steps of a tenth: each method's factor is known."""
     c, f = calculus, lambda t, y: [-y[0]]
@@ -471,7 +502,7 @@ def decay_steps(spark: SparkSession, sf: str) -> DataFrame:
     return named(spark, {k: s(f, 0.0, [1.0], 1.0, 0.1, **tight.get(k, {})).y[-1][0] for k, s in solvers.items()})
 
 
-@R.add("""
+@R.fixed("""
 WITH RECURSIVE s AS (SELECT 0 AS k, 1.0::DOUBLE AS q, 0.0::DOUBLE AS p UNION ALL SELECT k + 1, q + 0.05 * (p - 0.05 * q), p - 0.05 * q FROM s WHERE k < 40),
 v AS (SELECT 0 AS k, 1.0::DOUBLE AS q, 0.0::DOUBLE AS p UNION ALL SELECT k + 1, q + 0.05 * (p - 0.025 * q), (p - 0.025 * q) - 0.025 * (q + 0.05 * (p - 0.025 * q)) FROM v WHERE k < 40)
 SELECT 'symplectic' AS method, k, round(q, 7) + 0.0 AS q, round(p, 7) + 0.0 AS p FROM s UNION ALL SELECT 'verlet', k, round(q, 7) + 0.0, round(p, 7) + 0.0 FROM v""")
@@ -481,7 +512,7 @@ def oscillator(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "method string, k int, q double, p double")
 
 
-@R.add("""
+@R.fixed("""
 SELECT 'heat' AS equation, i::INT AS i, round(sin(pi() * i / 20) * pow(1 - 4 * 0.4 * pow(sin(pi() / 40), 2), 100), 8) + 0.0 AS u FROM range(0, 21) r(i)
 UNION ALL SELECT 'wave', i::INT, round(sin(pi() * i / 20) * cos(50 * 2 * asin(0.8 * sin(pi() / 40))), 8) + 0.0 FROM range(0, 21) r(i)""")
 def heat_and_wave(spark: SparkSession, sf: str) -> DataFrame:
@@ -492,7 +523,7 @@ def heat_and_wave(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, i, round(float(u), 8) + 0.0) for k, us in (("heat", heat), ("wave", wave)) for i, u in enumerate(us)], "equation string, i int, u double")
 
 
-@R.add(named_sql({"gradient_descent": "2", "adam": "2", "newton": "sqrt(2)", "line_search": "2", "nelder_mead_x": "1", "nelder_mead_y": "-0.5", "projected": "1.5"}, 3))
+@R.fixed(named_sql({"gradient_descent": "2", "adam": "2", "newton": "sqrt(2)", "line_search": "2", "nelder_mead_x": "1", "nelder_mead_y": "-0.5", "projected": "1.5"}, 3))
 def minima(spark: SparkSession, sf: str) -> DataFrame:
     c, bowl = calculus, lambda x: (x - 2) ** 2
     nm = c.nelder_mead(lambda p: (p[0] - 1) ** 2 + (p[1] + 0.5) ** 2, [0.0, 0.0]).x
@@ -504,7 +535,7 @@ def minima(spark: SparkSession, sf: str) -> DataFrame:
 # ---- sensitivity, science ----------------------------------------------------------------
 
 
-@R.add(named_sql({"d0": "6", "d1": "1", "normalized0": "18 / 11.0", "normalized1": "2 / 11.0", "uncertainty": "sqrt(36 * 0.01 + 0.04)", "rank": "1", "identifiable": "0"}, 4))
+@R.fixed(named_sql({"d0": "6", "d1": "1", "normalized0": "18 / 11.0", "normalized1": "2 / 11.0", "uncertainty": "sqrt(36 * 0.01 + 0.04)", "rank": "1", "identifiable": "0"}, 4))
 def sensitivities(spark: SparkSession, sf: str) -> DataFrame:
     s = simulation
     d = s.local_sensitivity(lambda p: p[0] ** 2 + p[1], [3.0, 2.0])
@@ -526,7 +557,7 @@ def physics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@R.add("SELECT * FROM (VALUES ('bell', 0, 0.5::DOUBLE), ('bell', 3, 0.5), ('bell_other', 1, 0.5), ('bell_other', 2, 0.5), ('ghz', 0, 0.5), ('ghz', 7, 0.5), ('interference', 1, 1.0), ('phase', 0, 0.75), ('phase', 1, 0.25), ('swapped', 2, 1.0), ('toffoli', 7, 1.0), ('entangled', 0, 1.0)) t(register, state, probability)")
+@R.fixed("SELECT * FROM (VALUES ('bell', 0, 0.5::DOUBLE), ('bell', 3, 0.5), ('bell_other', 1, 0.5), ('bell_other', 2, 0.5), ('ghz', 0, 0.5), ('ghz', 7, 0.5), ('interference', 1, 1.0), ('phase', 0, 0.75), ('phase', 1, 0.25), ('swapped', 2, 1.0), ('toffoli', 7, 1.0), ('entangled', 0, 1.0)) t(register, state, probability)")
 def registers(spark: SparkSession, sf: str) -> DataFrame:
     s, reg = science, science.QuantumRegister
     one = s.x_gate(reg(1), 0)

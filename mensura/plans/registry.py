@@ -20,3 +20,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: q for p in _PARTS for k, q in p.R.sql.items()}
+
+
+def aside() -> dict[str, tuple[Query, str | None]]:
+    """What reads no table, with its SQL; for tests."""
+    return {k: q for p in _PARTS for k, q in p.R.aside.items()}

@@ -28,7 +28,7 @@ def unit_conversion(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", F.round(science.Quantity(F.col("p_size").cast("double"), inch).to(metre).value, 8).alias("metres"))
 
 
-@R.add("""SELECT round(exp(1.0::DOUBLE) - 1, 6) AS trapezoid, round(exp(1.0::DOUBLE) - 1, 8) AS simpson, round(exp(1.0::DOUBLE) - 1, 8) AS simpson_38""")
+@R.fixed("""SELECT round(exp(1.0::DOUBLE) - 1, 6) AS trapezoid, round(exp(1.0::DOUBLE) - 1, 8) AS simpson, round(exp(1.0::DOUBLE) - 1, 8) AS simpson_38""")
 def quadrature(spark: SparkSession, sf: str) -> DataFrame:
     row = (round(calculus.trapezoid(spark, F.exp, 0, 1), 6), round(calculus.simpson(spark, F.exp, 0, 1, 100), 8), round(calculus.simpson_38(spark, F.exp, 0, 1, 99), 8))
     return spark.createDataFrame([row], "trapezoid double, simpson double, simpson_38 double")
@@ -74,17 +74,17 @@ def windowed_events(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), F.col("count").alias("n"), "mean"))
 
 
-@R.add()
+@R.fixed()
 def quantum_shots(spark: SparkSession, sf: str) -> DataFrame:
     return science.ghz_state(3).measure_shots(spark, 10_000, 7)
 
 
-@R.add()
+@R.fixed()
 def mandelbrot(spark: SparkSession, sf: str) -> DataFrame:
     return science.mandelbrot_image(spark, -2, 1, -1, 1, 60, 40, 50)
 
 
-@R.add()
+@R.fixed()
 def fern(spark: SparkSession, sf: str) -> DataFrame:
     return science.barnsley_fern(spark, 500, chains=4)
 

@@ -273,27 +273,27 @@ def pdf_values(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.select("event_id", distributions.gaussian_pdf("value", 50.0, 20.0).alias("pdf"), distributions.exponential_cdf("value", 0.02).alias("exp_cdf")), 8)
 
 
-@R.add("SELECT k::INT AS k, round(exp(lgamma(21) - lgamma(k + 1) - lgamma(21 - k) + k * ln(0.3) + (20 - k) * ln(0.7)), 8) AS binomial, round(exp(k * ln(4) - 4 - lgamma(k + 1)), 8) AS poisson FROM range(0, 21) r(k)")
+@R.add("WITH p AS (SELECT p_partkey, p_size % 21 AS k FROM part) SELECT p_partkey, k::INT AS k, round(exp(lgamma(21) - lgamma(k + 1) - lgamma(21 - k) + k * ln(0.3) + (20 - k) * ln(0.7)), 8) AS binomial, round(exp(k * ln(4) - 4 - lgamma(k + 1)), 8) AS poisson FROM p")
 def pmf_values(spark: SparkSession, sf: str) -> DataFrame:
-    k = spark.range(21).select(F.col("id").cast("int").alias("k"))
-    return rounded(k.select("k", distributions.binomial_pmf("k", 20.0, 0.3).alias("binomial"), distributions.poisson_pmf("k", 4.0).alias("poisson")), 8)
+    k = load(spark, sf, "part").select("p_partkey", (F.col("p_size") % 21).cast("int").alias("k"))
+    return rounded(k.select("p_partkey", "k", distributions.binomial_pmf("k", 20.0, 0.3).alias("binomial"), distributions.poisson_pmf("k", 4.0).alias("poisson")), 8)
 
 
-@R.add()
+@R.fixed()
 def mc_pi(spark: SparkSession, sf: str) -> DataFrame:
     return simulation.estimate_pi(spark, 100_000, 42)
 
 
-@R.add()
+@R.fixed()
 def random_walk(spark: SparkSession, sf: str) -> DataFrame:
     return simulation.random_walk_2d(spark, 100, walks=4)
 
 
-@R.add()
+@R.fixed()
 def sobol(spark: SparkSession, sf: str) -> DataFrame:
     return simulation.variance_global_sensitivity(spark, lambda a, b: a + 2 * b, [(0.0, 1.0), (0.0, 1.0)])
 
 
-@R.add()
+@R.fixed()
 def metropolis(spark: SparkSession, sf: str) -> DataFrame:
     return simulation.metropolis_hastings(spark, lambda x: -x * x / 2, 0.0, 500, 100, chains=2)
