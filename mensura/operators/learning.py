@@ -156,15 +156,22 @@ class GaussianNaiveBayes:
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
+        """df with prediction: the label of greatest density, the first of equal ones.
+
+        The fit is one constant of the plan, over which each row's features are summed, so that the plan's code does not grow with labels times features.
+        """
         labels = list(dict.fromkeys(r[0] for r in self.rows))
-        score = {k: F.lit(math.log(next(r[1] for r in self.rows if r[0] == k))) for k in labels}
-        for k, _, c, m, v in self.rows:
-            score[k] = score[k] - 0.5 * math.log(2 * math.pi * v) - (F.col(c) - m) * (F.col(c) - m) / (2 * v)
-        best = F.greatest(*score.values()) if len(labels) > 1 else next(iter(score.values()))
-        out = F.lit(None)
-        for k in reversed(labels):
-            out = F.when(score[k] == best, k).otherwise(out)
-        return df.withColumn("prediction", out)
+        each = []
+        for k in labels:
+            own = {r[2]: r for r in self.rows if r[0] == k}
+            start = math.log(next(iter(own.values()))[1]) - 0.5 * sum(math.log(2 * math.pi * r[4]) for r in own.values())
+            terms = ", ".join(f"named_struct('m', {own[c][3]!r}d, 'a', {0.5 / own[c][4]!r}d)" for c in self.features)
+            each.append(f"named_struct('s', {start!r}d, 'q', array({terms}))")
+        x = F.array(*[F.col(c).cast("double") for c in self.features])
+        far = lambda p: F.aggregate(F.zip_with("_x", p["q"], lambda v, q: (v - q["m"]) * (v - q["m"]) * q["a"]), F.lit(0.0), lambda t, v: t + v)
+        scored = df.withColumn("_x", x).withColumn("_scores", F.transform(F.expr(f"array({', '.join(each)})"), lambda p: p["s"] - far(p)))
+        best = F.array_position("_scores", F.array_max("_scores")).cast("int")
+        return scored.withColumn("prediction", F.element_at(F.array(*[F.lit(k) for k in labels]), best)).drop("_scores", "_x")
 
 
 # ---- neighbours --------------------------------------------------------------------------

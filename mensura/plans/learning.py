@@ -197,13 +197,24 @@ def tree_split(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(left.agg(F.lit(XS.index(t.feature)).alias("feature"), F.lit(float(t.cut)).alias("cut"), F.count(F.lit(1)).alias("left_rows"), F.lit(float(t.left.value[1])).alias("left_share"), F.lit(float(t.right.value[1])).alias("right_share")))
 
 
-@R.add()
+def _descent_sql(epochs: int, rate: float) -> str:
+    """CTEs d and w0 to w{epochs}: bias b and weights w after each epoch."""
+    out = [f"d AS (SELECT vec_id, y, [1.0::DOUBLE] || x::DOUBLE[] AS x FROM ({_ROWS}) r)", f"w0 AS (SELECT [0.0::DOUBLE FOR i IN range({len(XS) + 1})] AS w)"]
+    for k in range(epochs):
+        out.append(f"g{k} AS (SELECT i, avg((1 / (1 + exp(-list_dot_product(w, x))) - y) * x[i]) AS g FROM d, w{k}, range(1, {len(XS) + 2}) r(i) GROUP BY i)")
+        out.append(f"w{k + 1} AS (SELECT list(w[i] - {rate} * g ORDER BY i) AS w FROM g{k}, w{k})")
+    return ", ".join(out)
+
+
+@R.add(f"WITH {_descent_sql(10, 0.1)} SELECT vec_id, y, round(1 / (1 + exp(-list_dot_product(w, x))), 8) AS probability, (list_dot_product(w, x) >= 0)::INT AS prediction FROM d, w10")
 def logistic_fit(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
-    return learning.LogisticRegression(XS, "y", epochs=10).fit(d).predict(d).select("vec_id", "y", "prediction")
+    return rounded(learning.LogisticRegression(XS, "y", epochs=10).fit(d).predict(d).select("vec_id", "y", "probability", "prediction"), 8)
 
 
-@R.add()
+@R.add(f"""WITH v AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, {len(XS) + 1}) r(i)), s AS (SELECT label AS k, i, avg(x) AS m, var_pop(x) AS v FROM v GROUP BY ALL),
+p AS (SELECT label AS k, ln(count(*)::DOUBLE / (SELECT count(*) FROM embeddings)) AS prior FROM embeddings GROUP BY 1), q AS (SELECT vec_id, label, s.k, sum(-0.5 * ln(2 * pi() * s.v) - (x - m) * (x - m) / (2 * s.v)) AS score FROM v JOIN s USING (i) GROUP BY ALL)
+SELECT vec_id, label, arg_max(q.k, (score + prior, -q.k)) AS prediction FROM q JOIN p ON q.k = p.k GROUP BY ALL""")
 def gnb_predict(spark: SparkSession, sf: str) -> DataFrame:
     d = _labelled(spark, sf)
     return learning.GaussianNaiveBayes(XS, "label").fit(d).predict(d).select("vec_id", "label", "prediction")

@@ -136,9 +136,15 @@ def moving_median(spark: SparkSession, sf: str) -> DataFrame:
     return signals.moving_median(load(spark, sf, "events"), "value", ["ts", "event_id"], 5, "user_id").select("event_id", "moving_median")
 
 
-@R.add()
+_LOW = signals.butter_lowpass(2, 0.2)
+
+
+@R.add(f"""WITH RECURSIVE {H}, z AS (SELECT 0 AS k, {_LOW.b[0]!r}::DOUBLE AS h, 0.0::DOUBLE AS h1 UNION ALL
+SELECT k + 1, CASE k + 1 WHEN 1 THEN {_LOW.b[1]!r} WHEN 2 THEN {_LOW.b[2]!r} ELSE 0 END::DOUBLE - {_LOW.a[1]!r}::DOUBLE * h - {_LOW.a[2]!r}::DOUBLE * h1, h FROM z WHERE k < 150)
+SELECT a.i, round(sum(z.h * b.x), 8) + 0.0 AS y FROM h a JOIN h b ON b.i BETWEEN a.i - 150 AND a.i JOIN z ON z.k = a.i - b.i GROUP BY a.i""")
 def butter_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return signals.apply_filter(all_hours(spark, sf), signals.butter_lowpass(2, 0.2))
+    """The SQL folds the hours with the filter's response to a single one."""
+    return rounded(signals.apply_filter(all_hours(spark, sf), _LOW), 8)
 
 
 @R.add(f"""
