@@ -1,7 +1,7 @@
 """Line deduplication by content-defined chunks of lines.
 
 Lines are often whole paragraphs, so each is first wrapped into rows of a few words, anew from its start; a short
-line is one row.  A rolling hash runs over the hashes of rows, WINDOW rows at a time.  From any row on, the
+line is one row.  A rolling hash runs over the hashes of rows, two at a time.  From any row on, the
 next boundary is the row of least rolling hash among the next REACH rows, whatever the lengths of lines: so boundaries are where the content
 says, and come again after whatever was inserted before.  A chunk reaches from one boundary to the next and holds
 several rows.
@@ -15,6 +15,7 @@ every occurrence but the first go.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -22,38 +23,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from mensura.llm.common import free_name, lean, scratch, slices, with_row_ids, written
 
-#: Rows that the rolling hash sees, rows among which the next boundary is, words of a passage that is removed.
-WINDOW, REACH, MIN_WORDS = 2, 4, 25
+#: Rows among which the next boundary is, words of a passage that is removed.
+REACH, MIN_WORDS = 4, 25
+
+#: Rows that decide a chunk: the one that the first rolling hash sees before its own, and those of two boundaries.
+DECIDE = 2 * REACH + 1
 
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
 
 
 def rolling(hashes: list[int]) -> list[int]:
-    """The rolling hash that ends with each row."""
-    drop = pow(_BASE, WINDOW, 1 << 64)
-    out, h = [], 0
-    for i, x in enumerate(hashes):
-        h = (h * _BASE + x - (drop * hashes[i - WINDOW] if i >= WINDOW else 0)) & _MASK
-        out.append(h * _BASE & _MASK)
-    return out
+    """The rolling hash of each two rows in turn: the older one's bits go round by one place, the newer one's come on top."""
+    return [((a << 1 | a >> 63) & _MASK) ^ b for a, b in zip(hashes, hashes[1:])]
 
 
 def row_words(min_words: int) -> int:
-    """Words of a row, such that a passage of min_words has the rows that decide a chunk: those the first hash sees before, and those of two boundaries."""
-    if min_words <= 2 * REACH + WINDOW - 2:
-        raise ValueError(f"min_words must be {2 * REACH + WINDOW - 1} or more")
-    return (min_words - 1) // (2 * REACH + WINDOW - 2)
+    """Words of a row, such that a passage of min_words has the rows that decide a chunk."""
+    if min_words < DECIDE:
+        raise ValueError(f"min_words must be {DECIDE} or more")
+    return (min_words - 1) // (DECIDE - 1)
 
 
-def next_boundary(values: list[int], i: int) -> int | None:
-    """The first row of least value among the REACH rows after i; None where there are fewer."""
-    if i + REACH >= len(values):
-        return None
-    return min(range(i + 1, i + 1 + REACH), key=values.__getitem__)
+def next_boundary(values: list[int], row: int) -> int | None:
+    """The first row of least rolling hash among the REACH rows after a row; None where there are fewer.  values[i] is that of row i + 1."""
+    near = values[row : row + REACH]
+    return row + 1 + near.index(min(near)) if len(near) == REACH else None
 
 
 class Cut:
@@ -67,13 +65,11 @@ class Cut:
         self.size = size
         self.known: dict[int, list[int]] = {}
 
-    def rows(self, k: int, most: int) -> list[int]:
-        """Hashes of the first rows of a line."""
-        import xxhash
-
+    def rows(self, k: int) -> list[int]:
+        """Hashes of a line's first rows, DECIDE at most."""
         if k not in self.known:
             w, n = self.split[k], self.size
-            self.known[k] = [xxhash.xxh3_64_intdigest(b" ".join(w[i : i + n])) for i in range(0, min(len(w), most * n), n)]
+            self.known[k] = [xxh3_64_intdigest(b" ".join(w[i : i + n])) for i in range(0, min(len(w), DECIDE * n), n)]
         return self.known[k]
 
     def passages(self, least: int) -> list[tuple[int, int]]:
@@ -93,29 +89,27 @@ class Cut:
         return sorted(ends)
 
     def chunk(self, first: int) -> tuple[int, int]:
-        """(name, line where it starts) of the first chunk that the rows from a line on decide: between the first two boundaries after its WINDOW - 1 first rows."""
-        import xxhash
-
-        need, hashes, lines, k = 2 * REACH + WINDOW - 1, [], [], first
-        while len(hashes) < need:  # a passage has as many
-            some = self.rows(k, need)
-            hashes += some
-            lines += [k] * len(some)
-            k += 1
+        """(name, line where it starts) of the chunk between the first two boundaries after the first row of a line."""
+        hashes, lines, k = self.rows(first), [], first
+        if len(hashes) < DECIDE:
+            lines = [first] * len(hashes)
+            hashes = list(hashes)
+            while len(hashes) < DECIDE:  # a passage has as many
+                k += 1
+                hashes += self.rows(k)
+                lines += [k] * len(self.rows(k))
         values = rolling(hashes)
-        start = next_boundary(values, WINDOW - 2)
+        start = next_boundary(values, 0)
         end = next_boundary(values, start)
-        body = b"".join(h.to_bytes(8, "little") for h in hashes[start : end + 1])
-        return int.from_bytes(xxhash.xxh3_64_digest(body), "little", signed=True), lines[start]
+        body = struct.pack(f"<{end + 1 - start}Q", *hashes[start : end + 1])
+        return xxh3_64_intdigest(body) - (1 << 63), lines[start] if lines else first
 
 
 def boundaries(lines: list[bytes], min_words: int = MIN_WORDS) -> tuple[int, list[int]]:
     """Rows of a text, and those that are boundaries, each the next one of that before it."""
     n = row_words(min_words)
-    import xxhash
-
-    hashes = [xxhash.xxh3_64_intdigest(b" ".join(w[i : i + n])) for x in lines if (w := x.split()) for i in range(0, len(w), n)]
-    values, out, at = rolling(hashes), [], WINDOW - 2
+    hashes = [xxh3_64_intdigest(b" ".join(w[i : i + n])) for x in lines if (w := x.split()) for i in range(0, len(w), n)]
+    values, out, at = rolling(hashes), [], 0
     while (at := next_boundary(values, at)) is not None:
         out.append(at)
     return len(hashes), out

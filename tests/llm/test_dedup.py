@@ -277,11 +277,12 @@ def test_each_passage_has_a_chunk_that_its_rows_alone_decide():
 def test_next_boundaries_are_least_of_the_rows_that_follow():
     rng = random.Random(14)
     for _ in range(200):
-        values = [rng.randint(0, 5) for _ in range(rng.randint(0, 15))]
-        for i in range(-1, len(values)):
-            after = values[i + 1 : i + 1 + line_dedup.REACH]
-            want = i + 1 + after.index(min(after)) if len(after) == line_dedup.REACH else None
-            assert line_dedup.next_boundary(values, i) == want
+        values = [rng.randint(0, 5) for _ in range(rng.randint(0, 15))]  # of rows 1, 2 and so on
+        for row in range(len(values)):
+            after = values[row : row + line_dedup.REACH]
+            want = row + 1 + after.index(min(after)) if len(after) == line_dedup.REACH else None
+            assert line_dedup.next_boundary(values, row) == want
+    assert line_dedup.rolling([1, 1 << 63, 5]) == [2 ^ 1 << 63, 1 ^ 5] and line_dedup.rolling([7]) == []
 
 
 def test_similarity_is_brute_force():
