@@ -1,6 +1,6 @@
 """URL filters by a tree of path templates, in DataFrame operations only.
 
-Per host, path segments become a tree.  Level by level, variable segments (numbers, long hexadecimal
+Per host, path segments become a tree.  From branching to branching, variable segments (numbers, long hexadecimal
 names, and the children of a node that has many rare ones) become wildcards; then branches whose
 labelled rate of bad pages does not differ from their siblings' are merged into the wildcard as
 well.  A template's purity is its share of good labelled pages, smoothed toward its host's, which is
@@ -52,24 +52,37 @@ def _with(rows: DataFrame, keys: list[str], totals: DataFrame, name: str) -> Dat
     return rows.join(written(totals, name), keys, "left")
 
 
-def templates(pages: DataFrame, children: int = 8, rare: float = 0.5, z: float = 1.96, strength: float = 8.0, least: int = 5) -> DataFrame:
+def templates(pages: DataFrame, children: int = 8, rare: float = 0.5, z: float = 1.96, strength: float = 8.0, least: int = 5, merges: int = 16) -> DataFrame:
     """pages (page, host, path, good: 1, 0 or null) with template and purity.
 
-    The tree goes as deep as the longest path.
-    A node with `children` children or more, which are `rare` or more of its pages, has a wildcard
+    A step takes each node of the tree to its next branching: segments that all of its pages share are one chain, whatever
+    its length.  There, a node with `children` children or more, which are `rare` or more of its pages, has a wildcard
     for them all.  A branch with fewer than `least` labelled pages, or whose bad rate differs from
-    its siblings' by less than z standard errors, is merged into the wildcard.  strength: labelled
-    pages that a prior counts for.
+    its siblings' by less than z standard errors, is merged into the wildcard.  After `merges` wildcards since a branch that
+    labelled pages told apart, what is left of a path is one wildcard `**`; so steps are bounded by labelled
+    evidence, not by the longest path.  Pages whose path has ended leave the steps.  strength: labelled pages that a
+    prior counts for.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = written(pages.withColumn("parts", parts).withColumn("template", F.col("host")).withColumn("bad", 1 - F.col("good")), "paths")
-    deepest = rows.agg(F.coalesce(F.max(F.size("parts")), F.lit(0))).first()[0]
-    for d in range(1, deepest + 1):
-        raw = F.try_element_at("parts", F.lit(d))
-        name = F.when(raw.rlike(VARIABLE), F.concat(F.lit("*"), F.regexp_extract(raw, VARIABLE, 1))).otherwise(raw)
-        rows = rows.withColumn("seg", name)
-        have = rows.where("seg is not null")
-        child = written(have.groupBy("template", "seg").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")), "children")
+    plain = lambda s: F.when(s.rlike(VARIABLE), F.concat(F.lit("*"), F.regexp_extract(s, VARIABLE, 1))).otherwise(s)
+    rows = written(pages.withColumn("rest", F.transform(parts, plain)).withColumn("template", F.col("host")).withColumn("bad", 1 - F.col("good")).withColumn("merged", F.lit(0)), "paths")
+    ended: list[DataFrame] = []
+
+    def going_on(rows: DataFrame) -> DataFrame:
+        ended.append(rows.where("size(rest) = 0").drop("rest", "merged", "bad"))
+        return rows.where("size(rest) > 0")
+
+    rows = going_on(rows)
+    while rows.limit(1).count():
+        # what lies between the least and the largest rest of a node begins as both of them do
+        ends = rows.groupBy("template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        differ = F.array_position(F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False))
+        chain = F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int")
+        rows = _with(rows, ["template"], ends.select("template", chain.alias("chain")), "chains")
+        head = F.array_join(F.slice("rest", F.lit(1), F.col("chain")), "/")
+        rows = rows.withColumn("template", F.when(F.col("chain") > 0, F.concat_ws("/", "template", head)).otherwise(F.col("template"))).withColumn("rest", F.slice("rest", F.col("chain") + 1, F.size("rest")))
+        rows = going_on(written(rows.drop("chain"), "level")).withColumn("seg", F.col("rest")[0])
+        child = written(rows.groupBy("template", "seg").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")), "children")
         parent = written(child.groupBy("template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("pages"), F.sum("l").alias("pl"), F.sum("b").alias("pb")), "parents")
         rest_l, rest_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
         pooled = (F.col("pb") + 1) / (F.col("pl") + 2)
@@ -78,15 +91,22 @@ def templates(pages: DataFrame, children: int = 8, rare: float = 0.5, z: float =
         many = (F.col("kinds") >= children) & (F.col("kinds") >= rare * F.col("pages"))
         alike = (F.col("kinds") > 1) & ((F.col("l") < least) | (rest_l < least) | (apart < z))
         becomes = F.when(F.col("seg").startswith("*"), F.col("seg")).when(many | alike, F.lit("*")).otherwise(F.col("seg"))
-        named = child.join(parent, "template").select("template", "seg", becomes.alias("as"))
-        rows = _with(rows, ["template", "seg"], named, "named").withColumn("template", F.when(F.col("seg").isNotNull(), F.concat_ws("/", "template", "as")).otherwise(F.col("template"))).drop("seg", "as")
-        rows = written(rows, "level")
+        named = child.join(parent, "template").select("template", "seg", becomes.alias("as"), (many | alike | F.col("seg").startswith("*")).alias("joined"))
+        rows = _with(rows, ["template", "seg"], named, "named")
+        rows = rows.withColumn("merged", F.when(F.col("joined"), F.col("merged") + 1).otherwise(0)).withColumn("rest", F.slice("rest", F.lit(2), F.size("rest")))
+        last = (F.col("merged") >= merges) & (F.size("rest") > 0)
+        rows = rows.withColumn("template", F.concat_ws("/", "template", "as", F.when(last, F.lit("**")))).withColumn("rest", F.when(last, F.array().cast("array<string>")).otherwise(F.col("rest")))
+        rows = going_on(written(rows.drop("seg", "as", "joined"), "level"))
+    rows = ended[0]
+    for more in ended[1:]:
+        rows = rows.unionByName(more)
+    rows = written(rows, "ended")
     whole = rows.agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g")).first()
     prior = (whole["g"] + 1) / (whole["n"] + 2)
     counts = written(rows.groupBy("host", "template").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g")), "counts")
     host = written(counts.groupBy("host").agg(((F.sum("g") + prior * strength) / (F.sum("n") + strength)).alias("host_purity")), "hosts")
     purity = counts.join(host, "host").select("host", "template", ((F.col("g") + strength * F.col("host_purity")) / (F.col("n") + strength)).alias("purity"))
-    return _with(rows, ["host", "template"], purity, "purity").drop("parts", "bad")
+    return _with(rows, ["host", "template"], purity, "purity")
 
 
 def judge(pages: DataFrame, labels: DataFrame | None, rules: dict[str, str], url: str = "url", key: str = "page_id", label_key: str = "doc_id", threshold: float = 0.5, **params) -> DataFrame:

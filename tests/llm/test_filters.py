@@ -1,5 +1,6 @@
 """Decontamination, language, quality, URL filters and sharding against brute force or held-out rows."""
 
+import math
 import random
 import re
 import zlib
@@ -143,6 +144,90 @@ def test_branches_deep_in_a_path_are_told_apart(spark):
     assert len({got[i]["template"] for i in range(200)}) == 2 and got[300]["template"].count("/") == 12
 
 
+def tree_of(rows, children=8, rare=0.5, z=1.96, least=5, merges=3):
+    """Template of each (host, segments, good or None), by recursion over lists."""
+    out = {}
+
+    def step(node, members, merged):
+        left = []
+        for i, rest in members:
+            if rest:
+                left.append((i, rest))
+            else:
+                out[i] = node
+        if not left:
+            return
+        chain = 0
+        while all(len(r) > chain for _, r in left) and len({r[chain] for _, r in left}) == 1:
+            chain += 1
+        node = "/".join([node, *left[0][1][:chain]])
+        going = []
+        for i, r in left:
+            if len(r) > chain:
+                going.append((i, r[chain:]))
+            else:
+                out[i] = node
+        kinds = {}
+        for i, r in going:
+            kinds.setdefault(r[0], []).append((i, r))
+        bad = lambda m: [1 - rows[i][2] for i, _ in m if rows[i][2] is not None]
+        groups = {}
+        every = bad(going)
+        for seg, m in kinds.items():
+            own = bad(m)
+            l, o = len(own), len(every) - len(own)
+            pooled = (sum(every) + 1) / (len(every) + 2)
+            error = math.sqrt(pooled * (1 - pooled) * (1 / max(l, 1) + 1 / max(o, 1)))
+            apart = abs(sum(own) / max(l, 1) - (sum(every) - sum(own)) / max(o, 1)) / error
+            many = len(kinds) >= children and len(kinds) >= rare * len(going)
+            alike = len(kinds) > 1 and (l < least or o < least or apart < z)
+            joined = many or alike or seg.startswith("*")
+            name = seg if seg.startswith("*") else "*" if joined else seg
+            groups.setdefault(name, []).extend((i, r, merged + 1 if joined else 0) for i, r in m)
+        for name, m in groups.items():
+            ends = [(i, r) for i, r, k in m if k >= merges and len(r) > 1]
+            for i, _ in ends:
+                out[i] = f"{node}/{name}/**"
+            for k in {k for _, _, k in m}:
+                step(f"{node}/{name}", [(i, r[1:]) for i, r, c in m if c == k and (c < merges or len(r) == 1)], k)
+
+    hosts = {}
+    for i, (host, rest, _) in enumerate(rows):
+        hosts.setdefault(host, []).append((i, [re.sub(r"^[0-9]+$", "*", x) for x in rest]))
+    for host, members in hosts.items():
+        step(host, members, 0)
+    return out
+
+
+def test_templates_and_purity_are_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(500):
+        host = rng.choice(["a.org", "b.org", "c.org"])
+        rest = [rng.choice([["x", "y"], ["p", "q", "r"], [str(rng.randrange(99)), "n"], [f"s{rng.randrange(40)}"]][k % 4 if host != "b.org" else 0]) for k in range(rng.randrange(0, 7))]
+        good = None if rng.random() < 0.3 else int(rng.random() < (0.15 if "y" in rest[:1] else 0.9))
+        rows.append((host, rest, good))
+    df = spark.createDataFrame([(i, h, "/" + "/".join(r), g) for i, (h, r, g) in enumerate(rows)], "page long, host string, path string, good int")
+    got = {r["page"]: r for r in url_filters.templates(df, merges=2).collect()}
+    want = tree_of(rows, merges=2)
+    assert {i: got[i]["template"] for i in want} == want and len(got) == len(rows) and len(set(want.values())) > 20
+    marks = [r[2] for r in rows if r[2] is not None]
+    prior = (sum(marks) + 1) / (len(marks) + 2)
+    for i, (host, _, _) in enumerate(rows):
+        site = [r[2] for r in rows if r[0] == host and r[2] is not None]
+        own = [rows[j][2] for j in want if want[j] == want[i] and rows[j][2] is not None]
+        base = (sum(site) + 8 * prior) / (len(site) + 8)
+        assert abs(got[i]["purity"] - (sum(own) + 8 * base) / (len(own) + 8)) < 1e-12
+
+
+def test_a_very_long_path_is_a_few_steps(spark):
+    rows = [(i, f"http://h.org/{'spam' if i % 2 else 'good'}/{i}") for i in range(60)] + [(100, "http://h.org/" + "x/" * 5000), (101, "http://h.org/spam/" + "".join(f"a{i}/" for i in range(5000))), *[(200 + i, f"http://deep.org/{'/'.join(f'{i}v{k}' for k in range(900))}") for i in range(12)]]
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, {}, merges=3).collect()}
+    assert len(got) == len(rows) and all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(60))
+    assert {got[200 + i]["template"] for i in range(12)} == {"deep.org/*/*/*/**"}
+
+
 def check_shards(got, rows, shards):
     sizes = [0] * shards
     slots = [[] for _ in range(shards)]
