@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.common import LOWER, UPPER, free_name, with_numbers, written
+from mensura.llm.common import LOWER, UPPER, with_numbers, written
 
 #: Bytes of a block.  Most documents are one or two blocks.
 BLOCK = 4096
@@ -88,9 +88,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", block:
     row with the largest key stays; a null key is smaller than any other, and of rows with the same
     key one stays.  docs may be empty and may have other columns, which are not read.
     """
-    rid = free_name(docs, "rid")
-    rows = with_numbers(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), rid)
-    names = written(name_documents(rows.withColumnRenamed(key, "__key"), rid, text, ["__key"], block), "identities")
+    rows = with_numbers(docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")), "rid")  # only these, so no name clashes
+    names = written(name_documents(rows, "rid", "__text", ["__key"], block), "identities")
     last = F.max(F.struct("__key", "rid"))
     groups = names.groupBy("level", "name").agg(last.alias("last"), F.count(F.lit(1)).alias("group_size"))
     joined = _with_totals(names, ["level", "name"], groups, "groups")

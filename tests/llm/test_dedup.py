@@ -36,6 +36,13 @@ def test_exact_dedup_is_brute_force(spark):
         assert all(r["keep_id"] == r["doc_id"] for r in got if r["kept"])
 
 
+@pytest.mark.parametrize("key, text", [("doc_id", "__key"), ("__key", "rid"), ("__text", "name"), ("level", "__text")])
+def test_exact_dedup_whatever_columns_are_called(spark, key, text):
+    docs = spark.createDataFrame([(1, "Same"), (2, "sAME"), (3, None), (4, "")], f"{key} long, {text} string")
+    got = exact_dedup.deduplicate(docs, text, key).collect()
+    assert sorted((r[key], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True)]
+
+
 def test_exact_dedup_of_nothing_and_of_long_texts(spark):
     docs = spark.createDataFrame([(1, "ab" * 60_000), (2, "AB" * 60_000), (3, "ab" * 60_000 + "c"), (4, "ba" * 60_000)], "doc_id long, text string")
     assert exact_dedup.deduplicate(docs.limit(0)).count() == 0
