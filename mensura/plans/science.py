@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from mensura.functions import science, symbolic
 from mensura.operators import calculus, descriptive
 from mensura.plans.common import Registry, load, rounded
-from mensura.streaming import accumulators
+from mensura.sources.tables import shared_dir
+from mensura.streaming import accumulators, fits
 
 R = Registry()
 
@@ -49,29 +50,40 @@ def model_fit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(fit["b"], 2), round(fit["a"], 1))], "slope double, intercept double")
 
 
+def _streamed(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """A table's files as a stream."""
+    return spark.readStream.schema(load(spark, sf, table).schema).parquet(f"{sf}/{table}.parquet*")
+
+
+def _run(state: DataFrame) -> DataFrame:
+    """What a streaming aggregate holds once all files have gone by: each batch replaces the table of its groups."""
+    spark = state.sparkSession
+    at = f"{shared_dir(spark)}/mensura/stream-{uuid.uuid4().hex}"
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/state")
+    state.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(state.schema).parquet(f"{at}/state")
+
+
 @R.add("""SELECT user_id, count(*) AS count, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
 def stream_moments(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a file stream, run to its end; the state of each user is a row of the sink."""
-    events = load(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
-    state = accumulators.streaming_moments(stream, "value", "user_id")
-    name = f"moments_{abs(hash((sf, tempfile.mktemp())))}"
-    query = state.writeStream.outputMode("complete").format("memory").queryName(name).start()
-    query.processAllAvailable()
-    query.stop()
-    return rounded(spark.table(name).select("user_id", "count", "mean"))
-
-
-@R.add("""SELECT round(regr_slope(l_extendedprice, l_quantity), 2) AS slope, count(*) AS rows_seen FROM lineitem""")
+    """Events as a file stream, run to its end; the state of each user is a row."""
+    return rounded(_run(accumulators.streaming_moments(_streamed(spark, sf, "events"), "value", "user_id")).select("user_id", "count", "mean"))
+
+
+@R.add("""SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 5) AS intercept, count(*) AS rows_seen FROM lineitem""")
 def streaming_linear_fit(spark: SparkSession, sf: str) -> DataFrame:
-    fit = accumulators.linear_fit(load(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice")
-    return spark.createDataFrame([(round(fit.coefficients[0], 2), fit.rows_seen)], "slope double, rows_seen long")
+    """Lineitem as a file stream; the state is one row of sums, solved at the end."""
+    sums = _run(accumulators.streaming_gram(_streamed(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice"))
+    return fits.solved(sums, 1).select(F.round(F.col("coefficients")[0], 6).alias("slope"), F.round("intercept", 5).alias("intercept"), "rows_seen")
 
 
 @R.add("""SELECT date_trunc('day', ts) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
 def windowed_events(spark: SparkSession, sf: str) -> DataFrame:
-    w = accumulators.windowed_moments(load(spark, sf, "events"), "ts", "value", "1 day", "1 hour")
-    return rounded(w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), F.col("count").alias("n"), "mean"))
+    """Events as a file stream in windows of a day; files are in no order of time, so the watermark leaves ten years."""
+    epoch = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"  # watermarks need instants: times count as UTC, whatever the session's zone
+    stream = _streamed(spark, sf, "events").withColumn("at", F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {epoch}, ts))"))
+    w = _run(accumulators.windowed_moments(stream, "at", "value", "1 day", "3650 days"))
+    return rounded(w.select(F.expr(f"timestampadd(MICROSECOND, unix_micros(window.start), {epoch})").alias("day"), F.col("count").alias("n"), "mean"))
 
 
 @R.fixed()
