@@ -119,3 +119,19 @@ def test_hash_of_blocks_is_the_hash_of_bytes(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"abcdef")
     got = ranges.byte_blocks(spark, f"{tmp_path}/a", 4).select("block", F.sha2("bytes", 256).alias("h")).collect()
     assert {r["block"]: r["h"] for r in got} == {0: hashlib.sha256(b"abcd").hexdigest(), 1: hashlib.sha256(b"ef").hexdigest()}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from mensura.sources.tables import shared_dir
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master=master, applicationId=f"{master}{conf}"))
+
+    for where in ("file:/tmp/warehouse", "/tmp/warehouse"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session("spark://host:7077", **{"spark.sql.warehouse.dir": where}))
+    assert shared_dir(session("yarn", **{"spark.sql.warehouse.dir": "hdfs://x/w/"})) == "hdfs://x/w"
+    assert shared_dir(session("yarn", **{"spark.checkpoint.dir": "hdfs://x/c/"})) == "hdfs://x/c"
+    assert shared_dir(session("local[4]")).startswith("file:///")
