@@ -25,13 +25,19 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or where it is unset the warehouse, or in local mode a temporary folder."""
+    """The folder every executor sees: spark.checkpoint.dir, or where it is unset the warehouse, or in local mode a temporary folder.
+
+    On a cluster a warehouse on a machine's own disk is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             local = spark.sparkContext.master.split("[")[0] == "local"
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="mensura-") if local else spark.conf.get("spark.sql.warehouse.dir")
+            found = "file://" + tempfile.mkdtemp(prefix="mensura-") if local else spark.conf.get("spark.sql.warehouse.dir")
+            if not local and (found.startswith("file:") or "://" not in found):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            _OWN[app] = found
         where = _OWN[app]
     return where.rstrip("/")
 
