@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.plans import forms, learning, scale, science, statistics, text, timeseries
+from mensura.plans import forms, learning, more, scale, science, statistics, text, timeseries
 from mensura.plans.common import Query
 
-_PARTS = (statistics, timeseries, learning, text, science, forms, scale)
+_PARTS = (statistics, timeseries, learning, text, science, forms, scale, more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
