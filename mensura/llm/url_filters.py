@@ -122,7 +122,8 @@ def judge(pages: DataFrame, labels: DataFrame | None, rules: dict[str, str], url
     if labels is not None:
         ok = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False)).cast("int")
         marks = labels.where(F.col(f"`{label_key}`").isNotNull()).groupBy(F.col(f"`{label_key}`").alias("page")).agg(F.min(ok).alias("good"))
-        rows = rows.join(written(marks, "marks"), "page", "left")
+        # marks grow with the pages; their files are small for their rows, and would be broadcast for that
+        rows = rows.join(written(marks, "marks").hint("merge"), "page", "left")
     else:
         rows = rows.withColumn("good", F.lit(None).cast("int"))
     found = templates(rows, **params).withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
