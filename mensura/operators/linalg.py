@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -194,7 +194,14 @@ def layer_norm(m: DataFrame, eps: float = 1e-5, gamma: float = 1.0, beta: float
     return m.join(s, "row").select("row", "col", ((F.col("val") - F.col("_m")) / F.sqrt(F.col("_v") + eps) * gamma + beta).alias("val"))
 
 
+def place_code(row: Column, col: Column, width: int) -> Column:
+    """What a place adds to a sequence's element: sines in even dimensions, cosines in odd ones."""
+    # the divisors come from the driver: Spark's pow is off by a bit in some, which far along a sequence shows in the eighth digit
+    angle = row / F.get(F.array(*[F.lit(10000.0 ** ((c - c % 2) / width)) for c in range(width)]), col)
+    return F.when(col % 2 == 0, F.sin(angle)).otherwise(F.cos(angle))
+
+
 def positional_encoding(spark: SparkSession, length: int, width: int) -> DataFrame:
+    """(row, col, val) of all places.  A sequence that is already a table takes place_code: Spark guesses far too few rows here and would broadcast them to a join."""
     cells = spark.range(length).select(F.col("id").cast("int").alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    angle = F.col("row") / F.pow(F.lit(10000.0), (F.col("col") - F.col("col") % 2) / F.lit(float(width)))
-    return cells.withColumn("val", F.when(F.col("col") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)))
+    return cells.withColumn("val", place_code(F.col("row"), F.col("col"), width))

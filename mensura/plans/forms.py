@@ -361,8 +361,7 @@ SELECT r::INT AS "row", c::INT AS col, round(embedding[c + 1]::DOUBLE + CASE WHE
 def positions(spark: SparkSession, sf: str) -> DataFrame:
     """All vectors as one sequence, with what each place adds to them."""
     v = ordering.numbered(load(spark, sf, "embeddings"), ["vec_id"], "n").select((F.col("n") - 1).cast("int").alias("row"), F.posexplode("embedding").alias("col", "x"))
-    places = linalg.positional_encoding(spark, v.agg(F.max("row")).first()[0] + 1, 64)
-    return rounded(v.join(places, ["row", "col"]).select("row", "col", (F.col("x").cast("double") + F.col("val")).alias("val")), 7)
+    return rounded(v.select("row", "col", (F.col("x").cast("double") + linalg.place_code(F.col("row"), F.col("col"), 64)).alias("val")), 7)
 
 
 # ---- signals -----------------------------------------------------------------------------
