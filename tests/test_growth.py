@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_scale import gini_tree
 
+from mensura.functions import special
 from mensura.operators import learning
 from mensura.plans import registry
 
@@ -37,3 +39,17 @@ def test_trees_try_cuts_inside_bins(spark, spread):
     want = gini_tree([(i, [u, v], k) for i, u, v, k in rows], 2)
     got = {r["i"]: r["probabilities"][1] for r in (learning.DecisionTreeClassifier(["a", "b"], "y", 2).fit(df, edges=edges).predict(df)).collect()}
     assert all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_special_functions_work_once_on_equal_arguments(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def f(a, b):
+        calls.add(1)
+        return None if a == 3 else special.betai(2.0, 3.0, a / 10) + b
+
+    df = spark.range(6000).coalesce(1).select("id", F.when(F.col("id") % 8 < 7, F.col("id") % 8).cast("double").alias("a"))
+    got = {r["id"]: r["v"] for r in df.select("id", special.column_function(f)("a", F.lit(1.0)).alias("v")).collect()}
+    want = {a: None if a in (3, 7) else special.betai(2.0, 3.0, a / 10) + 1 for a in range(8)}
+    assert len(got) == 6000 and all(v == want[i % 8] for i, v in got.items())
+    assert calls.value == 7
