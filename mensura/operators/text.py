@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mensura.sources.tables import checkpointed
 
@@ -66,6 +70,10 @@ def search(concepts: DataFrame, notes: DataFrame, query: str, tag: str | None =
 # ---- trained byte pairs ------------------------------------------------------------------
 
 
+#: A word, or a sign by itself.
+WORD = r"\w+|[^\w\s]"
+
+
 @dataclass
 class PairTokenizer:
     """Merged character pairs; words end with a mark.  Encoding takes the longest vocabulary entry at each place."""
@@ -76,7 +84,7 @@ class PairTokenizer:
 
     def encode(self, text: str, add_specials: bool = False) -> list[int]:
         out, longest = [], max(map(len, self.vocab))
-        for word in re.findall(r"\w+|[^\w\s]", text):
+        for word in re.findall(WORD, text):
             s, i = word + self.end, 0
             while i < len(s):
                 step = next((n for n in range(min(longest, len(s) - i), 0, -1) if s[i : i + n] in self.vocab), 0)
@@ -142,12 +150,49 @@ def _merged(words: DataFrame, a: str, b: str) -> DataFrame:
     return words.select(F.regexp_replace("p", rf"(?<= )\Q{a}\E \Q{b}\E(?= )", whole).alias("p"), "n")
 
 
-def encode_pairs(docs: DataFrame, text: str, tokenizer: PairTokenizer, out: str = "ids") -> DataFrame:
-    """docs with token ids, in Arrow batches."""
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else tokenizer.encode(t))
+#: Characters of text, and distinct words, that encode_pairs holds as token ids at once.
+PIECE, WORDS = 1 << 20, 1 << 16
 
-    return docs.withColumn(out, F.pandas_udf(run, "array<int>")(F.col(text)))
+
+def encode_pairs(docs: DataFrame, text: str, tokenizer: PairTokenizer, out: str = "ids") -> DataFrame:
+    """docs with token ids.  Documents of an Arrow batch are encoded and handed on a few at a time, as arrays of integers, so that memory follows the longest document and not the batch."""
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    columns = [f.name for f in schema.fields[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, array] = {}
+
+        def one(document: str) -> array:
+            ids = array("i")
+            for word in re.finditer(WORD, document):
+                w = word[0]
+                got = words.get(w)
+                if got is None:
+                    if len(words) >= WORDS:
+                        words.clear()
+                    got = words[w] = array("i", tokenizer.encode(w))
+                ids.extend(got)
+            return ids
+
+        def handed(rows: pa.RecordBatch, lists: list[array | None]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *[0 if x is None else len(x) for x in lists]], dtype=np.int64)
+            values = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x, np.int32) for x in lists if x]])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=pa.array([x is None for x in lists]))
+            return pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in columns], ids], [*columns, out])
+
+        for batch in batches:
+            texts, start, held, lists = batch.column(batch.schema.get_field_index(text)), 0, 0, []
+            for i in range(len(batch)):
+                document = texts[i].as_py()
+                lists.append(None if document is None else one(document))
+                held += len(document or "")
+                if held >= PIECE:
+                    yield handed(batch.slice(start, i + 1 - start), lists)
+                    start, held, lists = i + 1, 0, []
+            if lists:
+                yield handed(batch.slice(start), lists)
+
+    return docs.mapInArrow(run, schema)
 
 
 #: Fixed value: the alphabet of character ids.

@@ -64,7 +64,7 @@ def needleman_wunsch(spark: SparkSession, sf: str) -> DataFrame:
 @R.add()
 def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
     d = load(spark, sf, "documents")
-    return text.encode_pairs(d, "text", text.train_pairs(d, "text", 120)).select("doc_id", "ids")
+    return text.encode_pairs(d.select("doc_id", "text"), "text", text.train_pairs(d, "text", 120)).select("doc_id", "ids")
 
 
 # ---- signals -----------------------------------------------------------------------------

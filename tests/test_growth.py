@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_scale import gini_tree
 
 from mensura.functions import special
-from mensura.operators import learning
+from mensura.operators import learning, text
 from mensura.plans import registry
 
 
@@ -53,3 +53,15 @@ def test_special_functions_work_once_on_equal_arguments(spark):
     want = {a: None if a in (3, 7) else special.betai(2.0, 3.0, a / 10) + 1 for a in range(8)}
     assert len(got) == 6000 and all(v == want[i % 8] for i, v in got.items())
     assert calls.value == 7
+
+
+def test_encoded_pairs_leave_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abc d,é"), 4000)) for _ in range(40)] + [None, "", "abcab " * 3000]
+    tokenizer = text.PairTokenizer({t: i for i, t in enumerate([*text.SPECIALS, *"abcd,", "ab", "abc</w>", "</w>"])})
+    monkeypatch.setattr(text, "PIECE", 20_000)
+    monkeypatch.setattr(text, "WORDS", 50)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    out = text.encode_pairs(df, "text", tokenizer)
+    assert {r["id"]: r["ids"] for r in out.collect()} == {i: None if t is None else tokenizer.encode(t) for i, t in enumerate(texts)}
+    assert "MapInArrow" in plan_of(out)  # a function of whole columns has all ids of 10,000 documents in memory
