@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mensura.operators.common import Names, names, ordered
+from mensura.sources.tables import checkpointed
 
 
 def per_series(df: DataFrame, by: Names, function: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, index: str = "i", value: str = "x") -> DataFrame:
@@ -277,7 +278,7 @@ def dwt_multi_level(df: DataFrame, levels: int, by: Names = None, power_of_two:
     """(by, level, i, approx, detail), each level over the approximation of the one before."""
     out, now = None, df
     for k in range(1, levels + 1):
-        c = dwt(now, by, power_of_two)
+        c = checkpointed(dwt(now, by, power_of_two))  # else a task of the last level sorts and adds up all levels at once, and each is worked out again
         row = c.withColumn("level", F.lit(k))
         out = row if out is None else out.unionByName(row)
         now = c.select(*names(by), "i", F.col("approx").alias("x"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_scale import gini_tree
 
 from mensura.functions import special
-from mensura.operators import learning, text
+from mensura.operators import learning, signals, text
 from mensura.plans import registry
 
 
@@ -65,3 +65,12 @@ def test_encoded_pairs_leave_in_pieces(spark, monkeypatch):
     out = text.encode_pairs(df, "text", tokenizer)
     assert {r["id"]: r["ids"] for r in out.collect()} == {i: None if t is None else tokenizer.encode(t) for i, t in enumerate(texts)}
     assert "MapInArrow" in plan_of(out)  # a function of whole columns has all ids of 10,000 documents in memory
+
+
+def test_levels_of_wavelets_are_worked_out_once(spark):
+    df = spark.createDataFrame([(k, i, float(i * i % 7 + k)) for k in range(3) for i in range(8)], "k int, i int, x double")
+    out = signals.dwt_multi_level(df, 3, "k", power_of_two=True)
+    assert "Window" not in plan_of(out)
+    assert out.groupBy("level").count().orderBy("level").collect() == [(1, 12), (2, 6), (3, 3)]
+    last = {r["k"]: r["approx"] for r in out.where("level = 3").collect()}
+    assert all(abs(last[k] - sum(i * i % 7 + k for i in range(8)) / 8**0.5) < 1e-12 for k in range(3))
