@@ -1,12 +1,15 @@
 """Steps whose memory, time or shuffle must not outgrow the rows."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_scale import gini_tree
 
 from mensura.functions import special
-from mensura.operators import learning, signals, text
+from mensura.operators import learning, retrieval, signals, text
 from mensura.plans import registry
 
 
@@ -74,3 +77,44 @@ def test_levels_of_wavelets_are_worked_out_once(spark):
     assert out.groupBy("level").count().orderBy("level").collect() == [(1, 12), (2, 6), (3, 3)]
     last = {r["k"]: r["approx"] for r in out.where("level = 3").collect()}
     assert all(abs(last[k] - sum(i * i % 7 + k for i in range(8)) / 8**0.5) < 1e-12 for k in range(3))
+
+
+def test_index_cuts_texts_once_and_deals_out_blocks(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        calls.add(1)
+        return t
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "x1", "the", "of"], 30)) for _ in range(200)] + [None, "", "--", "ALPHA alpha"]
+    docs = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "id string, text string").coalesce(1)
+    index = retrieval.InvertedIndex(spark, f"file://{tmp_path}/index")
+    index.append(docs.select("id", F.udf(seen, "string")("text").alias("text")), "id", "text")
+    assert calls.value == len(texts)
+    bags = [Counter(re.findall("[a-z0-9]+", (t or "").lower())) for t in texts]
+    assert {(r["term"], r["key"]): r["tf"] for r in index.postings().collect()} == {(w, f"k{i}"): n for i, b in enumerate(bags) for w, n in b.items()}
+    assert spark.read.parquet(f"file://{tmp_path}/index/postings").count() == 5  # a row a term, not one a term and document
+    assert {r["key"]: r["length"] for r in index.documents().collect()} == {f"k{i}": b.total() for i, b in enumerate(bags)}
+    assert {r["term"]: r["documents"] for r in index.vocabulary().collect()} == Counter(w for b in bags for w in b)
+    assert not [p for p in (tmp_path / "index" / "staged").rglob("*") if p.is_file()]
+
+
+@pytest.mark.parametrize("piece", [1, 4, 1000])
+def test_blocks_of_pieces_hold_all_words(spark, piece):
+    texts = ["a b a", None, "c", "", "b b b b c", "A"]
+    rows = retrieval.blocks(spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1), "id", "text", piece).collect()
+    assert all(r["n"] == len(r["keys"]) == len(r["tfs"]) for r in rows)
+    got = sorted(((r["term"] or "", k, n) for r in rows for k, n in zip(r["keys"], r["tfs"])))
+    words = [re.findall("[a-z0-9]+", (t or "").lower()) for t in texts]
+    assert got == sorted([("", i, len(w)) for i, w in enumerate(words)] + [(x, i, n) for i, w in enumerate(words) for x, n in Counter(w).items()])
+    assert len([r for r in rows if r["term"] is None]) == {1: 4, 4: 3, 1000: 1}[piece]
+
+
+def test_index_without_words(spark, tmp_path):
+    index = retrieval.InvertedIndex(spark, f"file://{tmp_path}/index")
+    docs = spark.createDataFrame([(1, None), (2, "--")], "id long, text string")
+    index.append(docs, "id", "text")
+    index.append(docs.limit(0), "id", "text")
+    assert index.search("alpha").count() == index.cosine("alpha").count() == index.vocabulary().count() == 0
+    assert sorted(map(tuple, index.documents().collect())) == [(1, 0), (2, 0)] and {r["norm"] for r in index.norms().collect()} == {0.0}
