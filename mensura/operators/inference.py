@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,8 +246,18 @@ def with_poisson_weight(df: DataFrame, row: str, resample: str, seed: int, out:
     return df.withColumn(out, weight).drop("_z")
 
 
-def _resampled(df: DataFrame, value: str, key: Names, n_resamples: int, seed: int, stat: Callable[[str], Column], out: str) -> DataFrame:
-    """(b, out): stat over each resample.  Rows are read once and weighted where they are; what is shuffled are a task's partial aggregates, a row a resample."""
+@dataclass(frozen=True)
+class Quantile:
+    """The value at a share p of the rows in their order, between two neighbours in proportion.  Resamples find it by counts, so only draws close to it are shuffled."""
+
+    p: float
+
+    def __call__(self, value) -> Column:
+        return F.percentile(value, self.p)
+
+
+def _keyed(df: DataFrame, value: str, key: Names) -> DataFrame:
+    """(x, _row) of rows with a value; _row is the integer that draws them."""
     rows = df.where(F.col(value).isNotNull())
     if key is None:
         rows = ordering.numbered(rows.select(value), [value], "_row")
@@ -252,11 +265,71 @@ def _resampled(df: DataFrame, value: str, key: Names, n_resamples: int, seed: in
         keys = names(key)
         whole = len(keys) == 1 and dict(df.dtypes)[keys[0]] in ("tinyint", "smallint", "int", "bigint")
         rows = rows.select(value, (F.col(keys[0]).cast("long") if whole else F.xxhash64(*keys)).alias("_row"))
-    each = rows.select(F.col(value).cast("double").alias("x"), "_row", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b"))
+    return rows.select(F.col(value).cast("double").alias("x"), "_row")
+
+
+def _resampled(df: DataFrame, value: str, key: Names, n_resamples: int, seed: int, stat: Callable[[str], Column], out: str) -> DataFrame:
+    """(b, out): stat over each resample.  Rows are read once and weighted where they are; what is shuffled are a task's partial aggregates, a row a resample."""
+    each = _keyed(df, value, key).select("x", "_row", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b"))
     drawn = with_poisson_weight(each.withColumn("b", F.col("b").cast("long")), "_row", "b", seed)
     return drawn.select("b", "x", F.explode(F.array_repeat(F.lit(True), F.col("_w"))).alias("_once")).groupBy("b").agg(stat("x").alias(out))
 
 
+#: Ranges about a quantile, and one over the rank error of the values that part them.
+RANGES, ACCURACY = 32, 10_000
+
+
+def _parting(rows: DataFrame, p: float) -> list[float]:
+    """Values that part the neighbourhood of a quantile, which all but a resample in 1e15 fall into."""
+    around = 8 * math.sqrt(p * (1 - p) / max(1, rows.count())) + 4 / ACCURACY
+    places = sorted({min(1.0, max(0.0, p + around * (2 * i / RANGES - 1))) for i in range(RANGES + 1)})
+    found = rows.agg(F.percentile_approx("x", places, ACCURACY)).first()[0] or []
+    return sorted({v for v in found if v == v})
+
+
+def _resampled_quantile(df: DataFrame, value: str, key: Names, n_resamples: int, seed: int, p: float, out: str) -> DataFrame:
+    """(b, out): the quantile of each resample, and with b = -1 that of the rows themselves.
+
+    Values part the line into ranges, and each of them is a range of its own.  Draws are counted by resample and range; then
+    the ranges that hold a resample's quantile are read again, and their values counted.  Wherever the values lie the
+    result is the same; where they lie well a task shuffles some hundred counts a resample.
+    """
+    rows = _keyed(df, value, key)
+    parting = _parting(rows, p)
+
+    @F.pandas_udf("int")
+    def place(x: pd.Series) -> pd.Series:  # a column of so many comparisons is too long a method for Java to compile
+        return pd.Series(np.searchsorted(parting, x, "left") + np.searchsorted(parting, x, "right"), dtype="int32")
+
+    rows = rows.select("x", "_row", place("x").alias("_at"))
+
+    def drawn(each: DataFrame) -> DataFrame:
+        # no filter here: Spark would put it before the steps of the hash, each worked out again wherever it is used
+        return with_poisson_weight(each, "_row", "b", seed).withColumn("_w", F.when(F.col("b") < 0, 1).otherwise(F.col("_w")))
+
+    every = rows.select("_at", "_row", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(n_resamples - 1).cast("long"))).alias("b"))
+    counts = drawn(every).groupBy("b", "_at").agg(F.sum("_w").alias("_n"))
+    along = Window.partitionBy("b").orderBy("_at")
+    placed = counts.select("b", "_at", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), "_n", (p * (F.sum("_n").over(Window.partitionBy("b")) - 1)).alias("_rank"))
+    holds = placed.where((F.col("_before") <= F.ceil("_rank")) & (F.col("_before") + F.col("_n") > F.floor("_rank"))).select("b", "_at", "_before", "_rank")
+    # a row or two a resample
+    near = drawn(rows.join(F.broadcast(holds), "_at")).groupBy("b", "x").agg(F.sum("_w").alias("_n"), F.min("_before").alias("_before"), F.min("_rank").alias("_rank")).where("_n > 0")
+    upto = F.min("_before").over(Window.partitionBy("b")) + F.sum("_n").over(Window.partitionBy("b").orderBy("x"))
+    ends = near.withColumn("_upto", upto)
+    at = lambda r: F.max(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("_n") <= r), F.col("x")))
+    ends = ends.groupBy("b").agg(F.min("_rank").alias("_rank"), at(F.floor("_rank")).alias("_lo"), at(F.ceil("_rank")).alias("_hi"))
+    between = (F.ceil("_rank") - F.col("_rank")) * F.col("_lo") + (F.col("_rank") - F.floor("_rank")) * F.col("_hi")
+    return ends.select("b", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias(out))
+
+
+def _quantile_interval(stats: DataFrame, n_resamples: int, confidence: float) -> DataFrame:
+    """Of (b, s), whose estimate is that of b = -1."""
+    tail = (1 - confidence) / 2
+    s = F.when(F.col("b") >= 0, F.col("s"))
+    ends = stats.agg(F.max(F.when(F.col("b") < 0, F.col("s"))).alias("estimate"), F.percentile(s, tail).alias("lower"), F.percentile(s, 1 - tail).alias("upper"), F.stddev_pop(s).alias("se"))
+    return ends.select("estimate", "lower", "upper", F.lit(n_resamples).alias("n_resamples"), F.lit(confidence).alias("confidence"), "se")
+
+
 def _interval(stats: DataFrame, estimate: DataFrame, n_resamples: int, confidence: float) -> DataFrame:
     tail = (1 - confidence) / 2
     ends = stats.agg(F.percentile("s", tail).alias("lower"), F.percentile("s", 1 - tail).alias("upper"), F.stddev_pop("s").alias("se"))
@@ -267,9 +340,11 @@ def bootstrap_ci(df: DataFrame, value: str, stat: Callable[[str], Column] = F.av
     """Percentile interval of an aggregate over Poisson resamples; null values don't count.
 
     Each row enters each resample by a hash of seed, resample and key, so a task run again draws the same.  Without
-    a key a row's number in the order of values takes its place.
+    a key a row's number in the order of values takes its place.  A median or the like as Quantile(p).
     """
     _some(df, value)
+    if isinstance(stat, Quantile):
+        return _quantile_interval(_resampled_quantile(df, value, key, n_resamples, seed, stat.p, "s"), n_resamples, confidence)
     stats = _resampled(df, value, key, n_resamples, seed, stat, "s")
     return _interval(stats, df.agg(stat(value).alias("estimate")), n_resamples, confidence)
 
@@ -278,6 +353,9 @@ def bootstrap_diff_ci(df: DataFrame, value: str, group: str, a, b, stat: Callabl
     """Of stat(group a) - stat(group b); both are drawn by themselves."""
     for g in (a, b):
         _some(df.where(F.col(group) == g), value)
+    if isinstance(stat, Quantile):
+        one, other = (_resampled_quantile(df.where(F.col(group) == g), value, key, n_resamples, seed + i, stat.p, t) for i, (g, t) in enumerate(((a, "a"), (b, "c"))))
+        return _quantile_interval(one.join(other, "b").select("b", (F.col("a") - F.col("c")).alias("s")), n_resamples, confidence)
     sides = [_resampled(df.where(F.col(group) == g), value, key, n_resamples, seed + i, stat, t) for i, (g, t) in enumerate(((a, "a"), (b, "c")))]
     stats = sides[0].join(sides[1], "b").select((F.col("a") - F.col("c")).alias("s"))
     one = [df.where(F.col(group) == g).agg(stat(value).alias(t)) for g, t in ((a, "a"), (b, "c"))]

@@ -403,5 +403,4 @@ SELECT round((SELECT quantile_cont(value, 0.5) FROM events WHERE event_type = 'c
 round(quantile_cont(s, 0.05), 6) AS lower, round(quantile_cont(s, 0.95), 6) AS upper, 200 AS n_resamples, 0.9::DOUBLE AS confidence, round(stddev_pop(s), 6) AS se FROM m""")
 def bootstrap_median_gap(spark: SparkSession, sf: str) -> DataFrame:
     """The difference of two medians, over 200 resamples of all clicks and views."""
-    median = lambda c: F.percentile(c, 0.5)
-    return rounded(inference.bootstrap_diff_ci(load(spark, sf, "events"), "value", "event_type", "click", "view", median, 200, 0.9, 3, "event_id"))
+    return rounded(inference.bootstrap_diff_ci(load(spark, sf, "events"), "value", "event_type", "click", "view", inference.Quantile(0.5), 200, 0.9, 3, "event_id"))

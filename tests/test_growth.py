@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_scale import gini_tree
 
 from mensura.functions import special
-from mensura.operators import learning, retrieval, signals, text
+from mensura.operators import inference, learning, retrieval, signals, text
 from mensura.plans import registry
 
 
@@ -118,3 +118,35 @@ def test_index_without_words(spark, tmp_path):
     index.append(docs.limit(0), "id", "text")
     assert index.search("alpha").count() == index.cosine("alpha").count() == index.vocabulary().count() == 0
     assert sorted(map(tuple, index.documents().collect())) == [(1, 0), (2, 0)] and {r["norm"] for r in index.norms().collect()} == {0.0}
+
+
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.83, 1.0])
+@pytest.mark.parametrize("kind", ["ties", "spread", "odd", "few"])
+def test_quantiles_of_resamples_equal_those_of_all_draws(spark, kind, p, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = {"ties": rng.integers(0, 4, 900).astype(float), "spread": rng.exponential(50, 900), "odd": np.r_[rng.normal(size=300), [np.inf] * 3, -0.0, 0.0], "few": np.r_[1.5, 2.5]}[kind]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(5000, None)], "i long, x double").repartition(3)
+    plain = inference._resampled(df, "x", "i", 60, 3, lambda c: F.percentile(c, p), "s")
+    want = {r["b"]: r["s"] for r in plain.collect()} | {-1: df.agg(F.percentile("x", p)).first()[0]}
+    for parting in (None, lambda rows, p: [], lambda rows, p: [-9.0, 2.0, 70.0]):  # wherever the ranges lie
+        if parting:
+            monkeypatch.setattr(inference, "_parting", parting)
+        got = {r["b"]: r["s"] for r in inference._resampled_quantile(df, "x", "i", 60, 3, p, "s").collect()}
+        assert got.keys() == want.keys() and all(got[b] == want[b] or abs(got[b] - want[b]) < 1e-12 for b in want)
+
+
+def test_resampled_medians_shuffle_counts_not_values(spark):
+    n = 40_000
+    df = spark.createDataFrame([(i, float(v), "ab"[i % 2]) for i, v in enumerate(np.random.default_rng(4).normal(size=n))], "i long, x double, g string")
+    got, want = (inference.bootstrap_diff_ci(df, "x", "g", "a", "b", stat, 150, 0.9, 3, "i") for stat in (inference.Quantile(0.5), lambda c: F.percentile(c, 0.5)))
+    assert np.allclose(got.first(), want.first(), rtol=1e-12, atol=1e-12)
+    plan = plan_of(inference._resampled_quantile(df, "x", "i", 150, 3, 0.5, "s"))
+    assert "percentile" not in plan and "array_repeat" not in plan  # those of 150 resamples are sorted, with all draws
+    parting = inference._parting(df.select("x"), 0.5)
+    inside = df.where(F.col("x").between(parting[0], parting[-1])).count()
+    assert len(parting) <= inference.RANGES + 1 and inside < n * (16 * 0.5 / n**0.5 + 10 / inference.ACCURACY)
+
+
+def test_bootstrap_median_gap_counts_draws(spark):
+    plan = registry.queries()["bootstrap_median_gap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat" not in plan
